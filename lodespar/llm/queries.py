@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodespar.llm.common import table
 
@@ -15,8 +16,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.simhash import simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.rans import token_files
+
+    return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_packing": op10_packing}
+    return {f.__name__: f for f in (op3_simhash, op6_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

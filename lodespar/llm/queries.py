@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from lodespar.llm.common import table
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "margin")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.simhash import simhash_components
 
@@ -23,6 +35,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.rans import token_files
 
@@ -30,7 +48,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op6_token_files, op10_packing)}
+    return {f.__name__: f for f in (op2_language, op3_simhash, op5_main_text, op6_token_files, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

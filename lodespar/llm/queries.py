@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lodespar.llm.common import table
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.chunks import remove_repeated_chunks
+
+    return remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.toxicity import toxicity
 
@@ -48,7 +54,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_simhash, op5_main_text, op6_token_files, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_language, op3_simhash, op5_main_text, op6_token_files, op8_line_dedup, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

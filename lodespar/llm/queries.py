@@ -41,6 +41,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.html import extract_pages
 
@@ -54,8 +60,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_simhash, op5_main_text, op6_token_files, op8_line_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_language, op3_simhash, op4_top_k, op5_main_text, op6_token_files, op8_line_dedup, op9_toxicity, op10_packing)}
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, [floor(CAST(x AS DOUBLE) * 256) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_top_k": OP4_SQL}

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lodespar.llm.common import table
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.chunks import remove_repeated_chunks
 
@@ -28,6 +34,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodespar.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.language import identify_languages
 
@@ -60,7 +72,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_simhash, op4_top_k, op5_main_text, op6_token_files, op8_line_dedup, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_personal_data, op2_language, op3_simhash, op4_top_k, op5_main_text, op6_token_files, op7_decontaminate, op8_line_dedup, op9_toxicity, op10_packing)}
 
 
 OP4_SQL = """

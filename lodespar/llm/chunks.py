@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodespar.llm.common import cut
+
 
 def _starts(window: int, divisor: int) -> Column:
     """For the array ``hashes`` of lines, the indices (from 0) at which chunks start.
@@ -40,15 +42,30 @@ def line_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, long_words:
 def repeated_chunks(docs: DataFrame, least_lines: int = 2, **how) -> DataFrame:
     """Each chunk of at least ``least_lines`` lines, or of one long line, that an earlier equal one precedes.
 
-    Columns: doc_id, text_hash, start, n_lines. Chunks are matched by a 64-bit hash; those whose hash repeats are
-    then grouped by their bytes, and all but the first of each group, by doc_id (null first), text hash and place,
-    are repeats. Both groupings aggregate before they shuffle, and the two joins are on keys that nothing
-    above them groups by, so that Spark can split a chunk that a third of all documents hold."""
+    Columns: doc_id, text_hash, start, n_lines. Chunks are compared by their bytes: grouped by them, once, with the least
+    doc_id of each group (aggregated before the shuffle). Where a 64-bit hash has one group of bytes only, which
+    is then as good as the bytes, the chunks' places alone, without bytes, join that hash's group; hashes that several groups
+    share, if there are any, join by bytes. All but the first of a group, by doc_id (null first), text hash and place, are
+    repeats. Nothing above the joins groups by their keys, so Spark can split a chunk that a third of all documents hold."""
     each = line_chunks(docs, **how).where((F.col("n_lines") >= least_lines) | F.col("long")).withColumn("hash", F.xxhash64("body"))
-    twice = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    alike = each.join(twice, "hash").select(F.struct("doc_id", "text_hash", "start").alias("place"), "n_lines", "body")
-    first = alike.groupBy("body").agg(F.min("place").alias("first"))
-    return alike.join(first, "body").where(~F.col("place").eqNullSafe(F.col("first"))).select("place.*", "n_lines")
+    each = each.withColumn("owner", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    groups = each.groupBy("hash", "body").agg(F.min("owner").alias("first"), F.count("*").alias("n"))
+    known = cut(groups.groupBy("hash").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies")).where("n > 1"))
+    place = ["doc_id", "text_hash", "start", "n_lines", "owner"]
+    gone = _later(each.select(*place, "hash").join(known.where("bodies = 1").select("hash", "first"), "hash"), ["hash"])
+    shared = known.where("bodies > 1").select("hash")
+    if not shared.isEmpty():
+        among = each.join(shared, "hash").select(*place, "hash", "body")
+        by_bytes = among.groupBy("hash", "body").agg(F.min("owner").alias("first"))
+        gone = gone.unionByName(_later(among.join(by_bytes, ["hash", "body"]), ["hash", "body"]))
+    return gone
+
+
+def _later(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of each ``key`` but its first one: those of other owners than ``first``, and ``first``'s own but the least."""
+    own = rows.where(F.col("owner") == F.col("first")).groupBy(*key).agg(F.min(F.struct("text_hash", "start")).alias("stays"))
+    at = F.struct("text_hash", "start")
+    return rows.join(own, key).where((F.col("owner") != F.col("first")) | (at != F.col("stays"))).select("doc_id", "text_hash", "start", "n_lines")
 
 
 def remove_repeated_chunks(docs: DataFrame, least_lines: int = 2, **how) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,9 @@ def lookup(secondary: DataFrame, primary: DataFrame, primary_key: list[str]) ->
 
 def middle_row(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Of each group, the row at place ceil(n / 2) in ``order``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w)).where(F.col("place") == F.ceil(F.col("n") / 2)).drop("place", "n")
+    numbered = rows.select(F.struct("*").alias("row"), F.row_number().over(w.orderBy(*order)).alias("place"), F.count("*").over(w).alias("of"))
+    return numbered.where(F.col("place") == F.ceil(F.col("of") / 2)).select("row.*")
 
 
 def scan_checksum(joined: DataFrame, key: str, repaired: Column) -> DataFrame:

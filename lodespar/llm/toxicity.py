@@ -82,9 +82,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n_of = {x.toxic: x.n for x in own.groupBy("toxic").agg(F.count("*").alias("n")).collect() if x.toxic in (0, 1)}
     rate = {k: min(1.0, rows_per_class / n) for k, n in n_of.items()}
+    prior = (n_of.get(1, 0) + 0.5) / (sum(n_of.values()) + 1)
+    constant = FactorizationMachine({}, buckets, float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, 1)))
     if set(n_of) != {0, 1}:
-        prior = (n_of.get(1, 0) + 0.5) / (sum(n_of.values()) + 1)
-        return FactorizationMachine({}, buckets, float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, 1)))
+        return constant
     chosen = own.where(F.col("toxic").isin(0, 1) & (unit_hash("doc_id") < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +96,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
     sample = cut(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, terms array<int>"))
     got = {x.toxic: x.n for x in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = got.get(1, 0), got.get(0, 0)
-    p, q = F.col("a") / max(1, pos), F.col("b") / max(1, neg)
-    mean = F.col("n") / max(1, pos + neg)
-    z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / max(1, pos) + 1 / max(1, neg)) + 1e-12)
+    if not pos or not neg:
+        return constant
+    p, q = F.col("a") / pos, F.col("b") / neg
+    mean = F.col("n") / (pos + neg)
+    z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
     by_term = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.count("*").alias("n"))
     best = by_term.where(F.col("n") >= least_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(features).collect()
     place = {x.term: k for k, x in enumerate(best)}

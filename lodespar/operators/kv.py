@@ -132,7 +132,8 @@ def page_stats(table: DataFrame, key: str, size: Column, fanout: int, capacity:
     """Per level of a tree of ``fanout`` over dense keys: pages, rows, and the least, mean and greatest fill of its pages.
 
     Level 0 holds the rows, ``size`` bytes each, in pages of ``capacity`` bytes; a page above holds ``fanout`` entries."""
-    leaves = table.groupBy(F.floor(F.col(key) / fanout).alias("page")).agg(F.count("*").alias("n"), (F.sum(size) / capacity).alias("fill")).withColumn("level", F.lit(0))
-    inner = leaves.groupBy(F.floor(F.col("page") / fanout).alias("page")).agg(F.count("*").alias("n"), (F.count("*") / fanout).alias("fill")).withColumn("level", F.lit(1))
+    leaves = table.groupBy(F.floor(F.col(key) / fanout).alias("page")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("used")).withColumn("level", F.lit(0)).withColumn("room", F.lit(capacity))
+    inner = leaves.groupBy(F.floor(F.col("page") / fanout).alias("page")).agg(F.count("*").alias("n"), F.count("*").alias("used")).withColumn("level", F.lit(1)).withColumn("room", F.lit(fanout))
     both = leaves.unionByName(inner)
-    return both.groupBy("level").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_entries"), F.min("fill").alias("min_fill"), F.max("fill").alias("max_fill"))
+    fill = F.col("used") / F.col("room")
+    return both.groupBy("level").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_entries"), F.min(fill).alias("min_fill"), F.max(fill).alias("max_fill"), (F.sum("used") / (F.count("*") * F.max("room"))).alias("mean_fill"))

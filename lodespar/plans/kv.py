@@ -145,10 +145,11 @@ def kv_bulk_load_check(spark, sf_dir):
     return kv.order_faults(table(spark, sf_dir, "customer"), "c_custkey", by="c_nationkey")
 
 
-@query("""WITH leaf AS (SELECT floor(o_orderkey / 64) AS page, count(*) AS n, CAST(sum(strlen(o_orderpriority) + 8) AS BIGINT) / 2048.0::DOUBLE AS fill FROM orders GROUP BY 1),
-up AS (SELECT floor(page / 64) AS page, count(*) AS n, count(*) / 64.0::DOUBLE AS fill FROM leaf GROUP BY 1),
+@query("""WITH leaf AS (SELECT floor(o_orderkey / 64) AS page, count(*) AS n, CAST(sum(strlen(o_orderpriority) + 8) AS BIGINT) AS used, 2048 AS room FROM orders GROUP BY 1),
+up AS (SELECT floor(page / 64) AS page, count(*) AS n, count(*) AS used, 64 AS room FROM leaf GROUP BY 1),
 b AS (SELECT 0 AS level, * FROM leaf UNION ALL SELECT 1, * FROM up)
-SELECT level, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_entries, min(fill) AS min_fill, max(fill) AS max_fill FROM b GROUP BY level""")
+SELECT level, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_entries, min(used / CAST(room AS DOUBLE)) AS min_fill, max(used / CAST(room AS DOUBLE)) AS max_fill,
+ CAST(sum(used) AS DOUBLE) / (count(*) * max(room)) AS mean_fill FROM b GROUP BY level""")
 def kv_page_stats(spark, sf_dir):
     return kv.page_stats(table(spark, sf_dir, "orders"), "o_orderkey", F.octet_length("o_orderpriority") + 8, 64, 2048)
 

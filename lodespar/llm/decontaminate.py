@@ -143,12 +143,12 @@ class Items:
         return int(np.minimum(count[x], times[y]).sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: int = 16, rare_share: float = 1e-4, least: float = 0.5, part_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: int = 16, rare_share: float = 1e-4, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
     """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it has a copy of.
 
     Columns: doc_id, item_id, score, matched_words, char_start, char_end (code points of the aligned span). The score
     is the local alignment's (match 2, mismatch -1, gap -1) over that of the whole item; ``least`` and more are copies,
-    so that some third of the words may be edited. Seeds are word n-grams of ``width`` words; how many documents have
+    so that a third of the words may be edited, or half of the item missing. Seeds are word n-grams of ``width`` words; how many documents have
     one is counted over the whole corpus, and each item keeps the ``seeds`` rarest and all that at most ``rare_share`` of
     the documents have: an item copied into a third of all documents still has seeds. The benchmark is broadcast in
     parts of about ``part_words`` words, one scan each, so a hot seed is never shuffled and no broadcast grows.

@@ -272,7 +272,7 @@ def test_contaminated(spark, docs, odd, benchmark, empty, small):
     for d, i in got:  # nothing is found that a whole alignment doesn't find
         numbers = {w: k for k, w in enumerate(dict.fromkeys(words[i]))}
         doc = np.array([numbers.get(w, -1) for w in decontaminate._WORD.findall(text_of[d].lower())])
-        assert decontaminate.smith_waterman(np.array([numbers[w] for w in words[i]]), doc)[0] >= len(words[i])
+        assert decontaminate.smith_waterman(np.array([numbers[w] for w in words[i]]), doc)[0] >= 0.8 * len(words[i])
     parts = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, part_words=300).collect()}
     assert parts == got
     assert {r.doc_id for r in decontaminate.contaminated(odd, benchmark).collect()} == {4}

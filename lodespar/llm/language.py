@@ -44,11 +44,11 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class LanguageFilters:
-    """``table[row]`` has bit l set if a kept n-gram of language l hashes to that row."""
+    """Row r of a table has bit l set if a kept n-gram of its language l hashes to that row; a table serves 64 languages."""
 
     languages: list[str]
     sizes: tuple[int, ...]
-    table: np.ndarray
+    tables: list[np.ndarray]
     hashes: int
     false_rate: np.ndarray
     coverage: np.ndarray
@@ -56,20 +56,37 @@ class LanguageFilters:
     @classmethod
     def build(cls, languages: list[str], sizes: tuple[int, ...], kept: list[tuple[np.ndarray, float]], hashes: int = 3, room: int = 12) -> LanguageFilters:
         """``kept``: for each language its n-grams' hashes and what share of its text they cover; ``room``: rows for each n-gram."""
-        if len(languages) > 64:
-            raise ValueError("one mask holds 64 languages")
-        rows = 1 << max(10, int(room * max([1, *(len(x) for x, _ in kept)]) - 1).bit_length())
-        table = np.zeros(rows, np.uint8 if len(languages) <= 8 else np.uint64)
-        for l, (found, _) in enumerate(kept):
-            for k in range(hashes):
-                table[cls.rows_of(found, k, rows)] |= table.dtype.type(1 << l)
-        fill = np.array([np.count_nonzero(table & table.dtype.type(1 << l)) / rows for l in range(len(languages))])
-        return cls(languages, sizes, table, hashes, fill**hashes, np.array([x for _, x in kept]))
+        tables, fill = [], []
+        for s in range(0, len(languages), 64):
+            own = [x for x, _ in kept[s : s + 64]]
+            rows = 1 << max(10, int(room * max(1, *map(len, own), 1) - 1).bit_length())
+            table = np.zeros(rows, np.uint8 if len(own) <= 8 else np.uint64)
+            for l, found in enumerate(own):
+                for k in range(hashes):
+                    table[cls.rows_of(found, k, rows)] |= table.dtype.type(1 << l)
+            tables.append(table)
+            fill += [np.count_nonzero(table & table.dtype.type(1 << l)) / rows for l in range(len(own))]
+        return cls(languages, sizes, tables, hashes, np.array(fill) ** hashes, np.array([x for _, x in kept]))
 
     @staticmethod
     def rows_of(found: np.ndarray, k: int, rows: int) -> np.ndarray:
         return ((found * _MIX[k % 3] + np.uint64(k)) >> np.uint64(64 - (rows - 1).bit_length())).astype(np.int64)
 
+    def _hits(self, found: np.ndarray) -> list[int]:
+        """For each language, how many of ``found`` its filter has: the popcount of its bit over all masks."""
+        out = []
+        for s, table in enumerate(self.tables):
+            mask = table[self.rows_of(found, 0, len(table))]
+            for k in range(1, self.hashes):
+                mask = mask & table[self.rows_of(found, k, len(table))]
+            own = range(min(64, len(self.languages) - 64 * s))
+            if mask.dtype == np.uint8:
+                by_mask = np.bincount(mask, minlength=256)
+                out += [int(by_mask[(np.arange(256) >> l) & 1 == 1].sum()) for l in own]
+            else:
+                out += [np.count_nonzero(mask & np.uint64(1 << l)) for l in own]
+        return out
+
     def predict(self, text: str) -> tuple[str, float, float]:
         """Language, its evidence (1: as many known n-grams as its own text has), and the lead over the next one."""
         codes = letters(text)
@@ -79,15 +96,8 @@ class LanguageFilters:
         for a in range(0, len(codes), 1 << 20):  # bounds what a very long text takes
             for n in self.sizes:
                 found = grams(codes[a : a + (1 << 20) + n - 1], n)
-                mask = self.table[self.rows_of(found, 0, len(self.table))]
-                for k in range(1, self.hashes):
-                    mask = mask & self.table[self.rows_of(found, k, len(self.table))]
+                hits += self._hits(found)
                 total += len(found)
-                if mask.dtype == np.uint8:
-                    by_mask = np.bincount(mask, minlength=256)
-                    hits += [by_mask[(np.arange(256) >> l) & 1 == 1].sum() for l in range(len(hits))]
-                else:
-                    hits += [np.count_nonzero(mask & np.uint64(1 << l)) for l in range(len(hits))]
         evidence = np.maximum(0, hits - total * self.false_rate) / (1 - self.false_rate) / np.maximum(1e-9, total * self.coverage)
         order = np.argsort(-evidence, kind="stable")
         best = float(evidence[order[0]])
@@ -95,19 +105,19 @@ class LanguageFilters:
         return self.languages[order[0]], min(1.0, best), (best - second) / best if best else 0.0
 
 
-def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[int, ...] = (2, 3, 4), least_share: float = 2e-5, relative: float = 0.2) -> LanguageFilters:
+def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[int, ...] = (2, 3, 4), least_share: float = 2e-5, relative: float = 0.2, languages: int = 512) -> LanguageFilters:
     """Filters learned from ``docs`` (doc_id, text, lang), rows without a lang aside.
 
-    About ``docs_per_language`` documents of each language, chosen by a hash of the row, bound the sample. A
-    language contains an n-gram if it makes up at least ``least_share`` of its n-grams of that size (so at most
+    About ``docs_per_language`` documents of each language, chosen by a hash of the row, bound the sample; of
+    the labels, the ``languages`` most frequent are learned. A language contains an n-gram if it makes up at least ``least_share`` of its n-grams of that size (so at most
     1 / least_share are kept for each size) and at least ``relative`` of the share it has in any language, which
     keeps foreign passages out."""
     known = docs.where(F.col("lang").isNotNull()).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
-    n_of = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(65).collect()
+    n_of = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not n_of:
         return LanguageFilters.build([], sizes, [])
     rate = F.create_map(*(F.lit(x) for row in n_of for x in (row.lang, min(1.0, docs_per_language / row.n))))
-    sample = known.where(unit_hash("doc_id", "text") < rate[F.col("lang")])
+    sample = known.where(unit_hash("doc_id", "text") < F.try_element_at(rate, F.col("lang")))  # labels that aren't learned have no rate
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,9 +135,9 @@ def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[i
     shares = counts.withColumn("share", F.col("times") / share[F.concat("lang", F.lit("\x00"), F.col("n").cast("string"))])
     most = shares.groupBy("n", "gram").agg(F.max("share").alias("most"))
     kept = shares.where(F.col("share") >= least_share).join(most, ["n", "gram"]).where(F.col("share") >= relative * F.col("most")).select("lang", "gram", "share").toPandas()
-    languages = sorted(x.lang for x in n_of)
-    parts = [kept[kept.lang == x] for x in languages]
-    return LanguageFilters.build(languages, sizes, [(x.gram.to_numpy(np.int64).view(np.uint64), float(x.share.sum()) / len(sizes)) for x in parts])
+    names = sorted(x.lang for x in n_of)
+    parts = [kept[kept.lang == x] for x in names]
+    return LanguageFilters.build(names, sizes, [(x.gram.to_numpy(np.int64).view(np.uint64), float(x.share.sum()) / len(sizes)) for x in parts])
 
 
 def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +19,69 @@ _TERM = re.compile(r"\w+")
 PREFIXES = (4, 6, 8)
 
 
+def stems(words: set[str]) -> Iterator[tuple[str, int]]:
+    """Each prefix of the words, and how many share it, three at most."""
+    for n in PREFIXES:
+        for prefix, times in Counter([x[:n] for x in words if len(x) >= n]).items():
+            yield prefix, min(times, 3)
+
+
 def terms(text: str, buckets: int) -> set[int]:
     """The buckets of the terms of a whole text: its lower-cased words, and each prefix that one, two or three of them share."""
     words = set(_TERM.findall(text.lower()))
     found = {text_hash(x, buckets) for x in words}
-    for n in PREFIXES:
-        for prefix, times in Counter([x[:n] for x in words if len(x) >= n]).items():
-            found.update(text_hash(f"{prefix}-{k}", buckets) for k in range(1, min(times, 3) + 1))
+    for prefix, times in stems(words):
+        found.update(text_hash(f"{prefix}-{k}", buckets) for k in range(1, times + 1))
     return found
 
 
 @dataclass
 class FactorizationMachine:
-    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the terms i that a text has."""
+    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the terms i that a text has.
+
+    ``words`` and ``prefixes`` remember which features a string stands for; each is emptied at ``memory`` strings."""
 
     place: dict[int, int]
     buckets: int
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    memory: int = 300_000
+    words: dict[str, int | None] = field(default_factory=dict)
+    prefixes: dict[str, list[int | None] | None] = field(default_factory=dict)
+
+    def _prefix(self, prefix: str) -> list[int | None] | None:
+        found = [self.place.get(text_hash(f"{prefix}-{k}", self.buckets)) for k in (1, 2, 3)]
+        return None if found == [None] * 3 else found
+
+    def features(self, text: str) -> list[int]:
+        """The places of the features that a text has, ascending: those that ``terms`` hashes to."""
+        words = set(_TERM.findall(text.lower()))
+        if len(self.words) > self.memory:
+            self.words.clear()
+        if len(self.prefixes) > self.memory:
+            self.prefixes.clear()
+        for x in [x for x in words if x not in self.words]:
+            self.words[x] = self.place.get(text_hash(x, self.buckets))
+        found = set(map(self.words.__getitem__, words))
+        for prefix, times in stems(words):
+            try:
+                known = self.prefixes[prefix]
+            except KeyError:
+                known = self.prefixes[prefix] = self._prefix(prefix)
+            if known:
+                found.update(known[:times])
+        found.discard(None)
+        return sorted(found)
 
     def score(self, text: str) -> float:
-        at = [k for k in map(self.place.get, terms(text, self.buckets)) if k is not None]
+        at = self.features(text)
         v = self.factor[at]
         raw = self.bias + self.weight[at].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 300, rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 200, rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted logistic loss with L2 decay, by full-batch Adam. ``rows``: each row's features, from 0."""
     size = np.array([len(x) for x in rows], np.int64)
     row, col = np.repeat(np.arange(len(rows)), size), np.array([y for x in rows for y in x], np.int64)
@@ -56,15 +91,28 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray,
     m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     total = weight_of.sum()
 
-    def summed(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, x, n) for x in values.T], 1) if values.ndim == 2 else np.bincount(at, values, n)
+    def summer(at: np.ndarray, n: int):
+        """Sums of values by the whole numbers ``at`` below n."""
+        order = np.argsort(at, kind="stable")
+        groups, count = np.unique(at, return_counts=True)
+        last = np.cumsum(count) - 1
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, *values.shape[1:]))
+            if len(groups):
+                until = np.cumsum(values[order], axis=0)[last]
+                out[groups] = np.diff(until, axis=0, prepend=np.zeros_like(until[:1]))
+            return out
+
+        return summed
 
+    by_row, by_col = summer(row, len(rows)), summer(col, features)
     for t in range(1, epochs + 1):
         v = p["v"][col]
-        of_row = summed(v, row, len(rows))
-        raw = p["b"][0] + summed(p["w"][col], row, len(rows)) + 0.5 * ((of_row**2).sum(1) - summed((v**2).sum(1), row, len(rows)))
+        of_row = by_row(v)
+        raw = p["b"][0] + by_row(p["w"][col]) + 0.5 * ((of_row**2).sum(1) - by_row((v**2).sum(1)))
         error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) * weight_of / total
-        grad = {"b": np.array([error.sum()]), "w": summed(error[row], col, features) + decay * p["w"] / 10, "v": summed(error[row, None] * (of_row[row] - v), col, features) + decay * p["v"] / 10}
+        grad = {"b": np.array([error.sum()]), "w": by_col(error[row]) + decay * p["w"] / 10, "v": by_col(error[row, None] * (of_row[row] - v)) + decay * p["v"] / 10}
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.999 * s[k] + 0.001 * g * g
@@ -72,7 +120,7 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray,
     return float(p["b"][0]), p["w"], p["v"]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, buckets: int = 1 << 26, features: int = 4096, least_rows: int = 5, least_z: float = 4.0) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, buckets: int = 1 << 26, features: int = 1024, least_rows: int = 5, least_z: float = 4.0) -> FactorizationMachine:
     """A machine for ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
     About ``rows_per_class`` documents of each label, chosen by a hash of doc_id, bound the sample; weights make

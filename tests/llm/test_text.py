@@ -189,11 +189,18 @@ def test_language_filters_have_all_languages():
     kept = [(language.grams(language.letters("abcdefgh ijkl"), 3), 1.0), (language.grams(language.letters("mnopqrst uvw abcd"), 3), 1.0)]
     filters = language.LanguageFilters.build(["x", "y"], (3,), kept)
     for l, (found, _) in enumerate(kept):
-        assert all((filters.table[filters.rows_of(found, k, len(filters.table))] >> l & 1).all() for k in range(3))
+        assert all((filters.tables[0][filters.rows_of(found, k, len(filters.tables[0]))] >> l & 1).all() for k in range(3))
     assert filters.predict("bcdefg")[0] == "x" and filters.predict("nopqrs")[0] == "y"
     assert filters.predict("12 !")[:2] == ("und", 0.0) and 0 <= filters.predict("zzzzzz")[1] <= 1
 
 
+def test_more_languages_than_one_mask_holds():
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k * 7 % 26)}" * 3 for k in range(150)]
+    kept = [(language.grams(language.letters(x), 3), 1.0) for x in words]
+    filters = language.LanguageFilters.build([f"l{k:03}" for k in range(150)], (3,), kept)
+    assert len(filters.tables) == 3 and all(filters.predict(x)[0] == f"l{k:03}" for k, x in enumerate(words))
+
+
 def test_machine_learns_a_pair():
     rng = np.random.default_rng(0)
     rows, label = [], []

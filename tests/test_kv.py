@@ -153,3 +153,47 @@ def test_middle_row_and_diff(spark):
 def test_histogram_overflow(spark):
     rows = spark.createDataFrame([(x,) for x in (0.0, 249.0, 250.0, 9000.0)], "x double")
     assert dict(got(telemetry.histogram(rows, F.col("x"), 250, 6000), "bucket", "n")) == {0: 2, 250: 1, 6000: 1}
+
+
+def test_random_logs_like_a_dictionary(spark):
+    """Model-based: many random logs at once, each on keys of its own."""
+    import random
+
+    rng = random.Random(11)
+    base, log, state, status = [], [], {}, {}
+    for case in range(150):
+        for k in range(4):
+            if rng.random() < 0.5:
+                base.append((case * 10 + k, "base"))
+                state[case * 10 + k] = "base"
+    for seq in range(2500):
+        op, k = rng.choice(["insert", "update", "upsert", "delete"]), rng.randrange(150) * 10 + rng.randrange(4)
+        v = None if op == "delete" else f"v{seq}"
+        log.append((seq, op, k, v))
+        there = k in state
+        status[seq] = "key_exists" if op == "insert" and there else "key_not_found" if op in ("update", "delete") and not there else "ok"
+        if status[seq] == "ok":
+            state.pop(k, None) if op == "delete" else state.__setitem__(k, v)
+    after, done = txn.fold(spark.createDataFrame(base, "k long, v string"), spark.createDataFrame(log, "seq long, op string, k long, v string"), "k")
+    assert dict(got(after, "k", "v")) == state and dict(got(done, "seq", "status")) == status
+
+
+def test_random_batches_like_a_dictionary(spark):
+    import random
+
+    rng = random.Random(12)
+    base = {k: rng.randrange(100) for k in rng.sample(range(400), 200)}
+    batch = [(seq, rng.randrange(400), rng.randrange(100)) for seq in range(600)]
+    table, ops_df = spark.createDataFrame(list(base.items()), "k long, v long"), spark.createDataFrame(batch, "seq long, k long, v long")
+    insert, update, upsert, merge = dict(base), dict(base), dict(base), dict(base)
+    for _, k, v in batch:
+        insert.setdefault(k, v)
+        if k in update:
+            update[k] = v
+        upsert[k] = v
+        merge[k] = max(merge.get(k, v), v)
+    assert dict(got(kv.insert(table, ops_df, "k", "seq")[0], "k", "v")) == insert
+    assert dict(got(kv.update(table, ops_df, "k", "seq", "v"), "k", "v")) == update
+    assert dict(got(kv.upsert(table, ops_df, "k", "seq", "v"), "k", "v")) == upsert
+    assert dict(got(kv.upsert_merge(table, ops_df, "k", "v", F.max, F.greatest), "k", "v")) == merge
+    assert dict(got(kv.upsert_fold(table, ops_df, "k", "seq", "v", F.greatest), "k", "v")) == merge

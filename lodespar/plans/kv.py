@@ -119,16 +119,16 @@ def kv_cursor_page(spark, sf_dir):
     return kv.page(rows, ["c_nationkey", "c_name"], 100, (3, "Customer#000000050"))
 
 
-@query("WITH p AS (SELECT DISTINCT s_suppkey * 13 AS x FROM supplier) SELECT x, (SELECT min(c_custkey) FROM customer WHERE c_custkey >= x AND c_custkey % 3 = 0) AS bound FROM p")
+@query("WITH p AS (SELECT DISTINCT s_suppkey * 47 AS x FROM supplier) SELECT x, (SELECT min(c_custkey * 3) FROM customer WHERE c_custkey * 3 >= x) AS bound FROM p")
 def kv_lower_bound(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    return kv.bound(rows, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 13).alias("x")), "k", "x", strict=False)
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("k"))
+    return kv.bound(rows, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 47).alias("x")), "k", "x", strict=False)
 
 
-@query("WITH p AS (SELECT DISTINCT s_suppkey * 13 AS x FROM supplier) SELECT x, (SELECT min(c_custkey) FROM customer WHERE c_custkey > x AND c_custkey % 3 = 0) AS bound FROM p")
+@query("WITH p AS (SELECT DISTINCT s_suppkey * 47 AS x FROM supplier) SELECT x, (SELECT min(c_custkey * 3) FROM customer WHERE c_custkey * 3 > x) AS bound FROM p")
 def kv_upper_bound(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
-    return kv.bound(rows, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 13).alias("x")), "k", "x", strict=True)
+    rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("k"))
+    return kv.bound(rows, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 47).alias("x")), "k", "x", strict=True)
 
 
 @query("""SELECT o_orderkey, lpad(hex(o_orderkey), 16, '0') AS packed FROM orders

@@ -8,9 +8,9 @@ from lodespar.operators import txn
 from lodespar.plans.registry import query
 from lodespar.sources.catalog import table
 
-# An event's operation, key, value and transaction; keys are spread so that a third are beyond the table.
+# An event's operation, key, value and transaction; keys are spread over half as many again as the table has.
 _OPS = """ops AS (SELECT event_id AS seq, CASE CAST(event_id % 4 AS INTEGER) WHEN 0 THEN 'insert' WHEN 1 THEN 'update' WHEN 2 THEN 'upsert' ELSE 'delete' END AS op,
- (event_id * 7919) % 225 AS k, value AS v, event_id // 5 AS txn FROM events)"""
+ (event_id * 7919) % (SELECT count(*) * 3 // 2 FROM customer) AS k, value AS v, event_id // 5 AS txn FROM events)"""
 _BASE = "base AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
 _FOLD = """, m AS (SELECT o.*, b.k IS NOT NULL AS present,
  last_value(CASE WHEN op IN ('insert', 'upsert') THEN TRUE WHEN op = 'delete' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY o.k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was
@@ -25,9 +25,9 @@ def _base(spark, sf_dir):
 
 
 def _ops(spark, sf_dir):
-    e = F.col("event_id")
+    e, n = F.col("event_id"), table(spark, sf_dir, "customer").count() * 3 // 2
     op = F.element_at(F.array(*map(F.lit, ("insert", "update", "upsert", "delete"))), (e % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(e.alias("seq"), op.alias("op"), (e * 7919 % 225).alias("k"), F.col("value").alias("v"), F.expr("event_id div 5").alias("txn"))
+    return table(spark, sf_dir, "events").select(e.alias("seq"), op.alias("op"), (e * 7919 % max(1, n)).alias("k"), F.col("value").alias("v"), F.expr("event_id div 5").alias("txn"))
 
 
 @query(f"WITH {_BASE}, {_OPS}, kept AS (SELECT * FROM ops){_FOLD} {_AFTER}")
@@ -53,7 +53,7 @@ def txn_abort_noop(spark, sf_dir):
     return txn.transact(_base(spark, sf_dir), ops, "k", aborted=ops.where("txn % 3 = 0").select("txn").distinct())
 
 
-@query("""WITH m AS (SELECT (event_id * 7919) % 225 AS k, event_id // 5 AS txn, max(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS x FROM events GROUP BY 1, 2),
+@query("""WITH m AS (SELECT (event_id * 7919) % (SELECT count(*) * 3 // 2 FROM customer) AS k, event_id // 5 AS txn, max(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) AS x FROM events GROUP BY 1, 2),
 g AS (SELECT k, count(*) AS n, CAST(sum(x) AS BIGINT) AS x FROM m GROUP BY k)
 SELECT k, n AS n_txns, x AS n_exclusive, CAST(n * (n - 1) // 2 - (n - x) * (n - x - 1) // 2 AS BIGINT) AS n_conflicts FROM g WHERE x > 0 AND n > 1""")
 def lock_conflicts(spark, sf_dir):

@@ -18,11 +18,13 @@ CLOSED_BY_BLOCK = frozenset("p".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form note status tooltip".split())
 _NO_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)s?|adslot|adbox|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|cookiebar|consent|gdpr|notices?|alerts?|"
-    r"nav|navbar|navigation|menus?|submenu|breadcrumbs?|crumbs|sidebars?|side|rail|aside|footers?|foot|masthead|topbar|toolbar|"
+    r"nav|navbar|navigation|menus?|submenu|breadcrumbs?|crumbs|sidebars?|rail|aside|footers?|foot|masthead|topbar|toolbar|"
     r"comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|"
-    r"shar(?:e|ing)|social|follow|related|recommend(?:ed|ations?)?|newsletter|subscri(?:be|ption)|signup|login|popup|modal|overlay|paywall|pagination|pager|tags|tagcloud|widgets?|skip|hidden|search(?:box|form)?|copyright|legal|disclaimer)(?=$|[\s_-]|\d)",
+    r"shar(?:e|ing)|social|follow|related|recommend(?:ed|ations?)?|newsletter|subscri(?:be|ption)|signup|login|popup|modal|overlay|paywall|pagination|pager|tags|tagcloud|widgets?|skip|hidden|search(?:box|form)?|copyright|disclaimer)(?=$|[\s_-]|\d)",
     re.I,
 )
+# What a name says an element has or lacks beside it isn't what it is.
+_BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without|show|hide)[_-][a-z]+", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|head|site-?title|logo)(?=$|[\s_-])", re.I)
 CONTENT = frozenset(("article", "main"))
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -85,8 +87,8 @@ class Lines(HTMLParser):
             return True
         if (own.get("role") or "").lower() in NO_ROLES:
             return True
-        names = f"{own.get('class') or ''} {own.get('id') or ''}"
-        if names != " " and tag not in INLINE | {"main"} and _NO_NAMES.search(names):
+        names = _BESIDE.sub("", f"{own.get('class') or ''} {own.get('id') or ''}")
+        if names.strip() and tag not in INLINE | {"main"} and _NO_NAMES.search(names):
             return True
         return (tag == "header" or bool(_HEADER.search(names))) and tag not in INLINE and not self._in_content(container)
 

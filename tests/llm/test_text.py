@@ -175,7 +175,7 @@ PAGE = """<html><head><title>T</title><script>var t="</p><p>no</p>";</script><st
 TEXT = "Title & more First paragraph of the article, which is long enough to count as such. Next line. Short. Last paragraph of the article, which is long enough too <ok>."
 
 
-@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="c1">', "</div>")])
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="c1">', "</div>"), ('<div class="with-sidebar wide"><div id="c">', "</div></div>")])
 def test_main_text(tags):
     assert html.main_text(PAGE % tags) == TEXT
 

@@ -84,9 +84,11 @@ def scan(table: DataFrame, keys: Sequence[str], where: Column | None = None, low
 
 
 def page(table: DataFrame, keys: Sequence[str], size: int, after: Sequence | None = None) -> DataFrame:
-    """The next ``size`` rows in key order after the key ``after``: a cursor that can be resumed."""
+    """The next ``size`` rows in key order after the key ``after``: a cursor that can be resumed.
+
+    The first key's bound reaches the scan, which skips what lies before it; each task keeps ``size`` rows at most."""
     if after is not None:
-        table = table.where(F.struct(*keys) > F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, after, strict=True))))
+        table = table.where(F.col(keys[0]) >= after[0]).where(F.struct(*keys) > F.struct(*(F.lit(x).alias(k) for k, x in zip(keys, after, strict=True))))
     return table.orderBy(*keys).limit(size)
 
 

@@ -393,6 +393,34 @@ def test_pipeline(spark, small, docs, odd, empty):
     assert not kept & leaks and len({parts[d] for d in kept}) >= 0.95 * len({c for d, c in parts.items()}) - len(leaks)
 
 
+def test_pipeline_like_brute_force(spark, small, docs):
+    """All stages in plain Python: chunks by a dictionary, all pairs of fingerprints, alignment of all pairs of texts, ids by the library."""
+    scored = {r.doc_id: r for r in language.identify_languages(docs).collect()}
+    left = [(r.doc_id, r.text) for r in docs.collect() if scored[r.doc_id].lang_pred != "und" and scored[r.doc_id].score >= 0.3]
+    texts = brute_chunks(left)
+    left = [(d, texts[d, t]) for d, t in left]
+    first = {d: c for d, _, c in brute_components(left)}
+    left = [(d, t) for d, t in left if first[d] == d]
+    items = [decontaminate._WORD.findall(r.text.lower()) for r in common.table(spark, small, "benchmark").collect()]
+
+    def copied(text):
+        words = decontaminate._WORD.findall(text.lower())
+        for item in items:
+            numbers = {w: k for k, w in enumerate(dict.fromkeys(item))}
+            doc = np.array([numbers.get(w, -1) for w in words], np.int64)
+            if decontaminate.smith_waterman(np.array([numbers[w] for w in item]), doc)[0] >= 0.4 * 2 * len(item):
+                return True
+        return False
+
+    tokenizer = whole()
+    want = {d: ids_of(tokenizer, t, 1) for d, t in left if not copied(t)}
+    pieces = corpus_pipeline.run(spark, small).collect()
+    assert {r.doc_id for r in pieces} == set(want)
+    for r in pieces:
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert sum(r.length for r in pieces) == sum(map(len, want.values()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_query_runs_and_gives_the_same_again(spark, small, name):
     if name == "op4_top_k":

@@ -37,13 +37,22 @@ def hint_correctness(hints: DataFrame, parts: list[str], by: str | None = None)
     return grouped.agg(F.count("*").alias("n_rows"), *(share(c).alias(f"{x}_share") for x, c in same.items()), share(every).alias("all_share"))
 
 
-def repair(hints: DataFrame, parts: list[str], policy: str) -> DataFrame:
-    """Stored hints after a lookup: ``always`` stores what was found, ``ignore_slot`` only if more than the slot was wrong, ``never`` nothing."""
-    wrong = lambda names: F.coalesce(F.array_contains(F.array(*(F.col(f"hint_{x}") != F.col(f"real_{x}") for x in names)), True), F.lit(False))
+def stale(parts: list[str]) -> Column:
+    """Whether any part of the stored hint differs from the present address."""
+    return F.coalesce(F.array_contains(F.array(*(F.col(f"hint_{x}") != F.col(f"real_{x}") for x in parts)), True), F.lit(False))
+
+
+def renewed(parts: list[str], policy: str) -> Column:
+    """Whether a lookup stores what it found: ``always`` if anything was wrong, ``ignore_slot`` only if more than the slot was, ``never``."""
     if policy not in ("always", "ignore_slot", "never"):
         raise ValueError(policy)
-    renew = {"always": wrong(parts), "ignore_slot": wrong([x for x in parts if x != "slot"]), "never": F.lit(False)}[policy]
-    return hints.withColumn("renew", renew).select(*(F.when(F.col("renew"), F.col(f"real_{x[5:]}")).otherwise(F.col(x)).alias(x) if x.startswith("hint_") else F.col(x) for x in hints.columns), F.col("renew").alias("repaired"))
+    return {"always": stale(parts), "ignore_slot": stale([x for x in parts if x != "slot"]), "never": F.lit(False)}[policy]
+
+
+def repair(hints: DataFrame, parts: list[str], policy: str) -> DataFrame:
+    """Stored hints after a lookup of each row under the policy, and ``repaired``."""
+    rows = hints.withColumn("renew", renewed(parts, policy))
+    return rows.select(*(F.when(F.col("renew"), F.col(f"real_{x[5:]}")).otherwise(F.col(x)).alias(x) if x.startswith("hint_") else F.col(x) for x in hints.columns), F.col("renew").alias("repaired"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

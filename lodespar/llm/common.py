@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 import zlib
+from collections.abc import Callable
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,6 +40,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once for each application.
+
+    Where its folder is on PYTHONPATH, workers have it already; else Spark hands an archive of it to all of them."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp()) / "lodespar.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "lodespar").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package at hand in the workers; for ``df.transform``."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

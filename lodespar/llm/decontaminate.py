@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut
+from lodespar.llm.common import cut, in_arrow
 
 SCHEMA = "doc_id long, item_id long, score double, matched_words long, char_start long, char_end long"
 _WORD = re.compile(r"\w+")
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: i
             yield pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(times[some])], names=["gram", "n"])
 
         # as many rows as the part has n-grams, at most
-        df = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        df = docs.select("text").transform(in_arrow, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
         items.choose(dict(zip(df.gram.tolist(), df.n.tolist(), strict=True)), seeds, int(rare_share * n_docs))
         chosen = spark.sparkContext.broadcast(items)
 
@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: i
                 columns = list(zip(*found, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if k == 2 else pa.int64()) for k, x in enumerate(columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        got = docs.mapInArrow(match, SCHEMA)
+        got = docs.transform(in_arrow, match, SCHEMA)
         out = got if out is None else out.unionByName(got)
     return out
 

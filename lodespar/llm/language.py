@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, held_out, texts, unit_hash
+from lodespar.llm.common import cut, held_out, in_arrow, texts, unit_hash
 
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, margin double"
@@ -129,7 +129,7 @@ def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[i
                     gram, times = np.unique(np.concatenate([grams(x, n) for x in found]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array([n] * len(gram), pa.int32()), pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "n", "gram", "times"])
 
-    counts = cut(sample.mapInArrow(count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
+    counts = cut(sample.transform(in_arrow, count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
     total = {(x.lang, x.n): x.t for x in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
     share = F.create_map(*(F.lit(x) for (lang, n), t in sorted(total.items()) for x in (f"{lang}\x00{n}", float(t))))
     shares = counts.withColumn("share", F.col("times") / share[F.concat("lang", F.lit("\x00"), F.col("n").cast("string"))])
@@ -149,7 +149,7 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
             lang, score, margin = zip(*(shared.value.predict(x) for x in texts(batch)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=["doc_id", "lang_pred", "score", "margin"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, run, SCHEMA)
 
 
 def identify_languages(docs: DataFrame, docs_per_language: int = 4000) -> DataFrame:
@@ -175,4 +175,4 @@ def keep_known_languages(docs: DataFrame, docs_per_language: int = 4000, least_s
             found = (shared.value.predict(x or "") for x in batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lodespar.llm.common import texts
+from lodespar.llm.common import in_arrow, texts
 from lodespar.llm.tokens import ID, encoder, public_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, sequence_length long"
@@ -98,4 +98,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
         if rows:
             yield flush(rows, base)[0]
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(pack, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, pack, SCHEMA)

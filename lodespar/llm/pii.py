@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, text_hash, texts, unit_hash
+from lodespar.llm.common import cut, in_arrow, text_hash, texts, unit_hash
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "secret", "ssn")
@@ -236,7 +236,7 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(more, kind)], names=["doc_id", *(f"n_{x}" for x in BASE), "base_sha256", "base", "voted"])
 
     head = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string"
-    found = cut(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(scan, f"{head}, base string, voted {SPANS}"))
+    found = cut(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, scan, f"{head}, base string, voted {SPANS}"))
     each = found.where(F.size("voted") > 0).select("doc_id", "base_sha256", F.explode("voted").alias("s"))
     # at most 3 ** VOTERS patterns of a kind
     patterns = [(x.kind, x.votes, x.n) for x in each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()]
@@ -257,4 +257,4 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
                 added.append(len(kept))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=[*batch.schema.names[:6], "spans", "added"])
 
-    return found.select(*(x.split()[0] for x in head.split(", ")), "base", "voted").mapInArrow(decide, f"{head}, spans string, added long")
+    return found.select(*(x.split()[0] for x in head.split(", ")), "base", "voted").transform(in_arrow, decide, f"{head}, spans string, added long")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import new_folder, texts
+from lodespar.llm.common import in_arrow, new_folder, texts
 from lodespar.llm.tokens import ID, encoder, public_path
 
 MAGIC, HEAD = b"LRN1", struct.Struct("<10Q")
@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    rows.select("doc_id", "text").mapInArrow(pack, "part long, segment long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
+    rows.select("doc_id", "text").transform(in_arrow, pack, "part long, segment long, n_tokens long, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -184,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    return files.select("part", "data").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.select("part", "data").transform(in_arrow, unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 2, segment_tokens: int = 1 << 21) -> DataFrame:

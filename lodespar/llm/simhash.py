@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, texts
+from lodespar.llm.common import cut, in_arrow, texts
 from lodespar.llm.components import connected_components
 
 BITS = 64
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             found = np.fromiter((fingerprint(x, width, seed) for x in texts(batch)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, run, "doc_id long, fingerprint long")
 
 
 def block_plan(distinct: int, radius: int, tile: int) -> tuple[int, int]:
@@ -147,7 +147,7 @@ def near_links(prints: DataFrame, radius: int = 4, tile: int = 2048) -> DataFram
             close()
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return keyed.select(*names_of(key)).mapInArrow(run, "a long, b long")
+    return keyed.select(*names_of(key)).transform(in_arrow, run, "a long, b long")
 
 
 def names_of(key: list[str]) -> list[str]:

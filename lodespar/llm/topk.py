@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut
+from lodespar.llm.common import cut, ship
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -56,6 +56,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _meet(queries: DataFrame, candidates: DataFrame, work, schema: str) -> DataFrame:
+    ship(queries.sparkSession)
     candidates = candidates.toDF(*candidates.columns)  # else both sides' columns have the same identity
     return queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInArrow(work, schema)
 

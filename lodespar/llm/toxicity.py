@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, held_out, text_hash, texts, unit_hash
+from lodespar.llm.common import cut, held_out, in_arrow, text_hash, texts, unit_hash
 
 _TERM = re.compile(r"\w+")
 #: Lengths of the prefixes that stand for a stem.
@@ -81,38 +81,23 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
 
-def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 200, rate: float = 0.05, decay: float = 1e-3, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weighted logistic loss with L2 decay, by full-batch Adam. ``rows``: each row's features, from 0."""
-    size = np.array([len(x) for x in rows], np.int64)
-    row, col = np.repeat(np.arange(len(rows)), size), np.array([y for x in rows for y in x], np.int64)
-    p = {"b": np.zeros(1), "w": np.zeros(features), "v": np.random.default_rng(seed).normal(0, 0.05, (features, rank))}
-    prior = float((label * weight_of).sum() / weight_of.sum())
-    p["b"][0] = np.log((prior + 1e-6) / (1 - prior + 1e-6))
-    m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    total = weight_of.sum()
-
-    def summer(at: np.ndarray, n: int):
-        """Sums of values by the whole numbers ``at`` below n."""
-        order = np.argsort(at, kind="stable")
-        groups, count = np.unique(at, return_counts=True)
-        last = np.cumsum(count) - 1
-
-        def summed(values: np.ndarray) -> np.ndarray:
-            out = np.zeros((n, *values.shape[1:]))
-            if len(groups):
-                until = np.cumsum(values[order], axis=0)[last]
-                out[groups] = np.diff(until, axis=0, prepend=np.zeros_like(until[:1]))
-            return out
+def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted logistic loss with L2 decay, by full-batch Adam. ``rows``: each row's features, from 0.
 
-        return summed
-
-    by_row, by_col = summer(row, len(rows)), summer(col, features)
+    The sample is one matrix of rows times features bytes: bounded, as both are."""
+    x = np.zeros((len(rows), features), np.float32)
+    x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([k for r in rows for k in r], np.int64)] = 1
+    total = weight_of.sum()
+    prior = float((label * weight_of).sum() / total)
+    p = {"b": np.array([np.log((prior + 1e-6) / (1 - prior + 1e-6))]), "w": np.zeros(features), "v": np.random.default_rng(seed).normal(0, 0.05, (features, rank))}
+    m, s = {k: np.zeros_like(y) for k, y in p.items()}, {k: np.zeros_like(y) for k, y in p.items()}
     for t in range(1, epochs + 1):
-        v = p["v"][col]
-        of_row = by_row(v)
-        raw = p["b"][0] + by_row(p["w"][col]) + 0.5 * ((of_row**2).sum(1) - by_row((v**2).sum(1)))
+        both = x @ np.column_stack([p["v"], p["w"] - 0.5 * (p["v"] ** 2).sum(1)]).astype(np.float32)
+        of_row = both[:, :-1].astype(float)
+        raw = p["b"][0] + both[:, -1] + 0.5 * (of_row**2).sum(1)
         error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - label) * weight_of / total
-        grad = {"b": np.array([error.sum()]), "w": by_col(error[row]) + decay * p["w"] / 10, "v": by_col(error[row, None] * (of_row[row] - v)) + decay * p["v"] / 10}
+        back = (x.T @ np.column_stack([error[:, None] * of_row, error]).astype(np.float32)).astype(float)
+        grad = {"b": np.array([error.sum()]), "w": back[:, -1] + decay * p["w"], "v": back[:, :-1] - back[:, -1:] * p["v"] + decay * p["v"]}
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.999 * s[k] + 0.001 * g * g
@@ -120,13 +105,14 @@ def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray,
     return float(p["b"][0]), p["w"], p["v"]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, buckets: int = 1 << 26, features: int = 1024, least_rows: int = 5, least_z: float = 4.0) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, buckets: int = 1 << 26, features: int = 1024, least_rows: int = 5, least_z: float = 4.0, least_lift: float = 1.5) -> FactorizationMachine:
     """A machine for ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text).
 
     About ``rows_per_class`` documents of each label, chosen by a hash of doc_id, bound the sample; weights make
     up for the choice. Of several labels of a doc_id the highest counts; rows without a label or doc_id don't.
     Features are the at most ``features`` buckets most associated with the label: in ``least_rows`` documents or
-    more and at least ``least_z`` standard errors from independence."""
+    more, at least ``least_z`` standard errors from independence, and at least ``least_lift`` times as frequent with one
+    label as with the other."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n_of = {x.toxic: x.n for x in own.groupBy("toxic").agg(F.count("*").alias("n")).collect() if x.toxic in (0, 1)}
     rate = {k: min(1.0, rows_per_class / n) for k, n in n_of.items()}
@@ -141,7 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sorted(terms(x, buckets)) for x in texts(batch)], pa.list_(pa.int32()))], names=["toxic", "terms"])
 
     # the chosen doc_ids are at most some 2 * rows_per_class
-    sample = cut(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, terms array<int>"))
+    sample = cut(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").transform(in_arrow, hashed, "toxic int, terms array<int>"))
     got = {x.toxic: x.n for x in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = got.get(1, 0), got.get(0, 0)
     if not pos or not neg:
@@ -150,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
     mean = F.col("n") / (pos + neg)
     z = F.abs(p - q) / F.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg) + 1e-12)
     by_term = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"), F.count("*").alias("n"))
-    best = by_term.where(F.col("n") >= least_rows).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(features).collect()
+    best = by_term.where(F.col("n") >= least_rows).withColumn("z", z).where((F.col("z") >= least_z) & (F.greatest(p, q) >= least_lift * F.least(p, q))).orderBy(F.desc("z"), "term").limit(features).collect()
     place = {x.term: k for k, x in enumerate(best)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
             found = [[place[y] for y in x if y in place] for x in batch.column("terms").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "terms"])
 
-    rows = sample.mapInArrow(placed, "toxic int, terms array<int>").collect()  # of the sample, at most ``features`` each
+    rows = sample.transform(in_arrow, placed, "toxic int, terms array<int>").collect()  # of the sample, at most ``features`` each
     label = np.array([x.toxic for x in rows], float)
     weight = np.where(label == 1, 1 / rate[1], 1 / rate[0])
     return FactorizationMachine(place, buckets, *fit_machine([x.terms for x in rows], label, weight, len(place)))
@@ -173,7 +159,7 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, threshold: fl
             score = np.fromiter((shared.value.score(x) for x in texts(batch)), float, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, run, "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000) -> DataFrame:

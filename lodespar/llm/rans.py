@@ -90,8 +90,19 @@ def _decode(state: np.ndarray, sizes: np.ndarray, words: np.ndarray, freq: np.nd
     return out.reshape(-1)
 
 
+def symbols(ids: np.ndarray, dense: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, ascending; each id's place among them; and their counts. Ids below ``dense`` are counted without a sort."""
+    if ids.max(initial=0) >= dense:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbol = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[symbol] = np.arange(len(symbol))
+    return symbol, place[ids], counts[symbol]
+
+
 def encode_segment(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, before: int = 0, part: int = 0, segment: int = 0) -> bytes:
-    symbol, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbol, index, counts = symbols(ids)
     if len(ids) == 0:
         symbol, counts, index = np.zeros(1, ID), np.ones(1, np.int64), np.zeros(0, np.int64)
     freq, blocks = frequencies(counts), -(-len(ids) // BLOCK)

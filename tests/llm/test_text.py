@@ -46,6 +46,15 @@ def test_segments_round_trip(n, kind):
         assert (rans.read_segment(data, slice(1, 2))[2] == ids[rans.BLOCK : 2 * rans.BLOCK]).all()
 
 
+@pytest.mark.parametrize("top", [300, 2**32 - 1])
+def test_symbols_like_a_sort(top):
+    ids = np.append(np.random.default_rng(top).integers(0, top, 5000), top).astype(tokens.ID)
+    for got, want in zip(rans.symbols(ids), np.unique(ids, return_inverse=True, return_counts=True), strict=True):
+        assert (got == want).all()
+    data = rans.encode_segment([1], [len(ids)], ids)
+    assert (rans.read_segment(data)[2] == ids).all()
+
+
 def test_damage_is_seen():
     data = bytearray(rans.encode_segment([1], [9000], np.arange(9000, dtype=tokens.ID) % 300))
     data[-5] ^= 1

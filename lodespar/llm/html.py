@@ -125,8 +125,10 @@ class Lines(HTMLParser):
         self._close_line()
 
 
-def content_lines(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Which lines are content: Gaussian smoothing, then two clusters of the logarithms about a threshold midway between their means."""
+def content_lines(ratio: np.ndarray, sigma: float = 1.0, prior: np.ndarray | None = None) -> np.ndarray:
+    """Which lines are content: Gaussian smoothing, then two clusters of the logarithms about a threshold midway between their means.
+
+    ``prior`` (-1 to 1 for each line) moves a line's threshold by up to a quarter of the means' distance."""
     if len(ratio) < 2:
         return np.ones(len(ratio), bool)
     reach = int(3 * sigma) + 1
@@ -141,44 +143,56 @@ def content_lines(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
         if abs(moved - threshold) < 1e-6:
             break
         threshold = moved
-    return level >= threshold
+    low, high = level[level < threshold], level[level >= threshold]
+    gap = high.mean() - low.mean() if len(low) and len(high) else 0.0
+    return level >= threshold - (0.0 if prior is None else prior * gap / 4)
+
+
+def link_lists(linked: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which lines are in a run of two or more mostly linked ones that aren't all content."""
+    out = np.zeros(len(linked), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], linked.astype(np.int8), [0]])))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out[a:b] = b - a > 1 and not content[a:b].all()
+    return out
 
 
 def main_text(html: str, chunk: int = 1 << 16) -> str:
     """The article of a page: its content lines and the other lines of the element that holds them, joined by a space.
 
-    Lines in menus, headers, footers, forms and the like never count. Where elements declare the article, only
-    their lines are considered; else the innermost element that holds nine tenths of the content's characters."""
+    Lines in menus, headers, footers, forms and the like never count. Elements that declare the article are a prior: the
+    threshold is lower inside and higher outside them. Content lines stay wherever they are. Other lines stay inside a
+    declared element, and inside the innermost element that holds nine tenths of the content's
+    characters; but runs of links that the clustering doesn't take for content go."""
     parser = Lines()
     for k in range(0, len(html), chunk):
         parser.feed(html[k : k + chunk])
     parser.close()
     rows = [x for x in parser.rows if not x[4]]
-    declared = [x for x in rows if parser._in_content(x[3])]
     if not rows:
         return ""
-    universe = declared or rows
-    size = np.array([len(x[0]) for x in universe], float)
-    linked = np.minimum(np.array([x[2] for x in universe], float), size)
-    content = content_lines((size - linked) / np.array([x[1] for x in universe], float))
-    if declared:
-        keep = np.ones(len(universe), bool)
-    else:
-        held: dict[int, float] = {}
-        for x, n, yes in zip(universe, size - linked, content, strict=True):
-            c = x[3]
-            while yes and c >= 0:
-                held[c] = held.get(c, 0.0) + n
-                c = parser.parent[c]
-        total = max(held.values(), default=0.0)
-        best = max((c for c, n in held.items() if n >= 0.9 * total), default=0)
-        keep = content.copy()
-        for k, x in enumerate(universe):
-            c = x[3]
-            while c > best:
-                c = parser.parent[c]
-            keep[k] = c == best and (content[k] or linked[k] < 0.5 * size[k])
-    return " ".join(x[0] for x, yes in zip(universe, keep, strict=True) if yes)
+    declared = np.array([parser._in_content(x[3]) for x in rows])
+    size = np.array([len(x[0]) for x in rows], float)
+    linked = np.minimum(np.array([x[2] for x in rows], float), size)
+    prior = np.where(declared, 1.0, -1.0) if declared.any() else None
+    content = content_lines((size - linked) / np.array([x[1] for x in rows], float), prior=prior)
+    lists = link_lists(linked >= 0.5 * size, content) if prior is not None else (linked >= 0.5 * size) & ~content
+    content &= ~lists
+    held: dict[int, float] = {}
+    for x, n, yes in zip(rows, size - linked, content, strict=True):
+        c = x[3]
+        while yes and c >= 0:
+            held[c] = held.get(c, 0.0) + n
+            c = parser.parent[c]
+    total = max(held.values(), default=0.0)
+    best = max((c for c, n in held.items() if n >= 0.9 * total), default=0)
+    keep = content.copy()
+    for k, x in enumerate(rows):
+        c = x[3]
+        while c > best:
+            c = parser.parent[c]
+        keep[k] = (keep[k] and (prior is not None or c == best)) or (declared[k] or c == best) and not lists[k]
+    return " ".join(x[0] for x, yes in zip(rows, keep, strict=True) if yes)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -194,6 +194,17 @@ def test_main_text_of_odd_pages():
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {k} of the article has words that go on and on for a while, so that its ratio of text to tags is a high one.</p>" for k in range(5))
+
+
+def test_clustering_decides_inside_and_outside_declared_elements():
+    links = "".join(f"<li><a href=/{k}>Another story number {k}</a></li>" for k in range(8))
+    text = html.main_text(f"<body><article><h1>Head</h1>{PARAGRAPHS}<ul>{links}</ul>{PARAGRAPHS}<p>Short.</p></article></body>")
+    assert "story number" not in text and text.startswith("Head") and text.endswith("Short.") and text.count("Paragraph") == 10
+    text = html.main_text(f"<body><article><h2>Teaser</h2><p>A short teaser.</p></article><div><h1>Head</h1>{PARAGRAPHS}</div></body>")
+    assert text.count("Paragraph") == 5 and "Head" in text
+
+
 def test_language_filters_have_all_languages():
     kept = [(language.grams(language.letters("abcdefgh ijkl"), 3), 1.0), (language.grams(language.letters("mnopqrst uvw abcd"), 3), 1.0)]
     filters = language.LanguageFilters.build(["x", "y"], (3,), kept)

@@ -128,7 +128,8 @@ class Lines(HTMLParser):
 def content_lines(ratio: np.ndarray, sigma: float = 1.0, prior: np.ndarray | None = None) -> np.ndarray:
     """Which lines are content: Gaussian smoothing, then two clusters of the logarithms about a threshold midway between their means.
 
-    ``prior`` (-1 to 1 for each line) moves a line's threshold by up to a quarter of the means' distance."""
+    Clusters whose means differ by less than a factor of e are one: all lines are content. ``prior`` (-1 to 1 for each
+    line) moves a line's threshold by up to a quarter of the means' distance."""
     if len(ratio) < 2:
         return np.ones(len(ratio), bool)
     reach = int(3 * sigma) + 1
@@ -145,6 +146,8 @@ def content_lines(ratio: np.ndarray, sigma: float = 1.0, prior: np.ndarray | Non
         threshold = moved
     low, high = level[level < threshold], level[level >= threshold]
     gap = high.mean() - low.mean() if len(low) and len(high) else 0.0
+    if gap < 1:
+        return np.ones(len(ratio), bool)
     return level >= threshold - (0.0 if prior is None else prior * gap / 4)
 
 
@@ -176,7 +179,7 @@ def main_text(html: str, chunk: int = 1 << 16) -> str:
     linked = np.minimum(np.array([x[2] for x in rows], float), size)
     prior = np.where(declared, 1.0, -1.0) if declared.any() else None
     content = content_lines((size - linked) / np.array([x[1] for x in rows], float), prior=prior)
-    lists = link_lists(linked >= 0.5 * size, content) if prior is not None else (linked >= 0.5 * size) & ~content
+    lists = link_lists(linked >= 0.5 * size, content)
     content &= ~lists
     held: dict[int, float] = {}
     for x, n, yes in zip(rows, size - linked, content, strict=True):
@@ -191,7 +194,7 @@ def main_text(html: str, chunk: int = 1 << 16) -> str:
         c = x[3]
         while c > best:
             c = parser.parent[c]
-        keep[k] = (keep[k] and (prior is not None or c == best)) or (declared[k] or c == best) and not lists[k]
+        keep[k] |= (declared[k] or c == best) and not lists[k]
     return " ".join(x[0] for x, yes in zip(rows, keep, strict=True) if yes)
 
 

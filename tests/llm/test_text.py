@@ -205,6 +205,16 @@ def test_clustering_decides_inside_and_outside_declared_elements():
     assert text.count("Paragraph") == 5 and "Head" in text
 
 
+def test_content_outside_the_holding_element_stays():
+    lead = "<div class=lead><p>The lead paragraph has eighty characters, or just about as many as it takes.</p></div>"
+    text = html.main_text(f"<div>{lead}<div class=body>{PARAGRAPHS * 4}</div></div>")
+    assert text.startswith("The lead paragraph") and text.count("Paragraph") == 20
+    section = PARAGRAPHS[: PARAGRAPHS.index("</p>") + 4] * 2
+    link = "<p><a href=x>A line that is nothing but one link to a source</a></p>"
+    text = html.main_text(f"<div><div class=body>{PARAGRAPHS}<h2>Between</h2>{link}<p>Yes.</p>{PARAGRAPHS * 4}</div><div class=more>{section}</div></div>")
+    assert text.count("Paragraph") == 27 and "Between A line that is nothing but one link to a source Yes." in text
+
+
 def test_language_filters_have_all_languages():
     kept = [(language.grams(language.letters("abcdefgh ijkl"), 3), 1.0), (language.grams(language.letters("mnopqrst uvw abcd"), 3), 1.0)]
     filters = language.LanguageFilters.build(["x", "y"], (3,), kept)

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare word n-grams of test items as seeds, then Smith-Waterman alignment of what they find."""
+"""Benchmark decontamination: word n-grams of test items as seeds, a count filter, then Smith-Waterman alignment of what is left."""
 
 from __future__ import annotations
 
@@ -52,7 +52,10 @@ class Items:
     vocabulary: dict[str, int]
     hashes: np.ndarray
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the seeds, ascending
-    where: list[list[tuple[int, int]]] = field(default_factory=list)  # for each seed: items and places
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each seed in ``item`` and ``place``; their length at the end
+    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    bags: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of each item: its distinct words and how often it has them
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], width: int) -> Items:
@@ -78,20 +81,24 @@ class Items:
             key ^= key >> np.uint64(31)
         return place, key
 
-    def all_grams(self) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.grams(w)[1] for w in self.words)]))
-
-    def choose(self, found_in: dict[int, int], seeds: int, rare: int) -> None:
-        """Seeds: of each item, the n-grams that at most ``rare`` documents have, and its ``seeds`` rarest in any case."""
-        places: dict[int, list[tuple[int, int]]] = {}
+    def choose(self, found_in: dict[int, int] | None = None, seeds: int = 0, rare: int = 0) -> None:
+        """Seeds: all n-grams; with ``found_in`` only those of each item that at most ``rare`` documents have, and its ``seeds`` rarest in any case."""
+        keys, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, words in enumerate(self.words):
             at, key = self.grams(words)
-            df = np.array([found_in.get(int(x), 0) for x in key.view(np.int64)], np.int64)
-            most = max(rare, int(np.sort(df)[min(seeds, len(df)) - 1])) if len(df) else 0
-            for p, x in zip(at[df <= most].tolist(), key[df <= most].tolist(), strict=True):
-                places.setdefault(x, []).append((n, p))
-        self.keys = np.array(sorted(places), np.uint64)
-        self.where = [places[x] for x in sorted(places)]
+            if found_in is not None and len(key):
+                df = np.array([found_in.get(int(x), 0) for x in key.view(np.int64)], np.int64)
+                few = df <= max(rare, int(np.sort(df)[min(seeds, len(df)) - 1]))
+                at, key = at[few], key[few]
+            keys.append(key)
+            items.append(np.full(len(key), n))
+            places.append(at)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))
+        self.item, self.place = np.concatenate(items)[order], np.concatenate(places)[order]
+        self.bags = [np.unique(x, return_counts=True) for x in self.words]
 
     def hits(self, key: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``key`` are in the ascending ``among``, and where."""
@@ -106,9 +113,12 @@ class Items:
         words = self.numbers(text)
         place, key = self.grams(words)
         yes, at = self.hits(key, self.keys)
+        if not len(yes):
+            return []
+        where = self._candidates(words, np.unique(at), least)
         regions: dict[int, list[list[int]]] = {}
         for p, s in zip(place[yes].tolist(), at.tolist(), strict=True):  # ascending p
-            for n, q in self.where[s]:
+            for n, q in where.get(s, ()):
                 size = len(self.words[n])
                 slack = size // 2 + 2
                 a, b = max(0, p - q - slack), min(len(words), p - q + size + slack)
@@ -134,6 +144,23 @@ class Items:
                 found.append(best)
         return found
 
+    def _candidates(self, words: np.ndarray, seeds: np.ndarray, least: float) -> dict[int, list[tuple[int, int]]]:
+        """Items and places of each of ``seeds``, without items that have too few words in the whole document for a score of ``least``."""
+        sizes = self.first[seeds + 1] - self.first[seeds]
+        seed = np.repeat(seeds, sizes)
+        entry = np.arange(len(seed)) + np.repeat(self.first[seeds] - (np.cumsum(sizes) - sizes), sizes)
+        items, of = np.unique(self.item[entry], return_inverse=True)
+        times = np.bincount(words[words >= 0], minlength=len(self.vocabulary))
+        own = np.concatenate([self.bags[n][0] for n in items])
+        most = np.minimum(np.concatenate([self.bags[n][1] for n in items]), times[own])
+        starts = np.cumsum([0, *(len(self.bags[n][0]) for n in items[:-1])])
+        enough = np.add.reduceat(most, starts) >= least * np.array([len(self.words[n]) for n in items])
+        kept = enough[of]
+        where: dict[int, list[tuple[int, int]]] = {}
+        for s, n, q in zip(seed[kept].tolist(), self.item[entry[kept]].tolist(), self.place[entry[kept]].tolist(), strict=True):
+            where.setdefault(s, []).append((n, q))
+        return where
+
     def _shared(self, item: np.ndarray, region: np.ndarray, need: np.ndarray | None) -> int:
         known, times = np.unique(region[region >= 0], return_counts=True)
         if need is not None:
@@ -143,14 +170,14 @@ class Items:
         return int(np.minimum(count[x], times[y]).sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: int = 16, rare_share: float = 1e-4, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
     """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it has a copy of.
 
     Columns: doc_id, item_id, score, matched_words, char_start, char_end (code points of the aligned span). The score
     is the local alignment's (match 2, mismatch -1, gap -1) over that of the whole item; ``least`` and more are copies,
-    so that a third of the words may be edited, or half of the item missing. Seeds are word n-grams of ``width`` words; how many documents have
-    one is counted over the whole corpus, and each item keeps the ``seeds`` rarest and all that at most ``rare_share`` of
-    the documents have: an item copied into a third of all documents still has seeds. The benchmark is broadcast in
+    so that a third of the words may be edited, or half of the item missing. Seeds are all word n-grams of ``width`` words of
+    an item, however many documents have them. Before alignment an item goes that shares too few words with the document, or
+    with the region about its seeds, to reach ``least``: that bound never drops a copy. The benchmark is broadcast in
     parts of about ``part_words`` words, one scan each, so a hot seed is never shuffled and no broadcast grows.
 
     Null and empty texts and items without words match nothing; repeated rows give repeated rows; several copies of
@@ -160,25 +187,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, seeds: i
     own = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null")
     total = own.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     parts, out = max(1, -(-int(total) // part_words)), None
-    n_docs = docs.count()
     for part in range(parts):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         items = Items.of([(x.item_id, x.text) for x in rows], width)
-        every = items.all_grams()
-        counted = spark.sparkContext.broadcast((items, every))
-
-        def count(batches: Iterator[pa.RecordBatch], counted=counted) -> Iterator[pa.RecordBatch]:
-            items, every = counted.value
-            times = np.zeros(len(every), np.int64)
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    times[np.unique(items.hits(items.grams(items.numbers(text or ""))[1], every)[1])] += 1
-            some = np.flatnonzero(times)
-            yield pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(times[some])], names=["gram", "n"])
-
-        # as many rows as the part has n-grams, at most
-        df = docs.select("text").transform(in_arrow, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        items.choose(dict(zip(df.gram.tolist(), df.n.tolist(), strict=True)), seeds, int(rare_share * n_docs))
+        items.choose()
         chosen = spark.sparkContext.broadcast(items)
 
         def match(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:

@@ -290,6 +290,17 @@ def test_an_item_in_every_document_is_found(spark):
     assert sorted(r.doc_id for r in got) == list(range(1, 60, 2)) and all(r.score == 1.0 for r in got)
 
 
+def test_half_copies_among_whole_ones_are_found(spark):
+    """The n-grams that whole and half copies share are the more frequent ones of the item."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(2000)]
+    item = rng.sample(words, 40)
+    copies = {k: item if k < 50 else item[20:] if k < 54 else [] for k in range(100)}
+    docs = spark.createDataFrame([(k, " ".join([*rng.choices(words, k=40), *x, *rng.choices(words, k=40)])) for k, x in copies.items()], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(54)) and all(r.score == 0.5 for r in got if r.doc_id >= 50)
+
+
 # op8
 
 

@@ -39,6 +39,30 @@ def line_chunks(docs: DataFrame, window: int = 2, divisor: int = 2, long_words:
     return df.select("doc_id", "text_hash", F.inline(F.transform("starts", chunk)))
 
 
+def short_runs(docs: DataFrame, long_words: int = 50) -> DataFrame:
+    """From each line that isn't long or blank, the shortest runs of such lines down and up that have more than ``long_words`` words.
+
+    Columns: doc_id, text_hash, start, n_lines, body. Blank lines inside a run are part of it; a long line ends it. Every
+    passage of short lines with more words is the union of such runs, so whoever repeats it repeats all of them."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("instr(text, '\n') > 0")
+    df = df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    df = df.withColumn("solid", F.filter(F.transform("lines", lambda x, k: F.struct(k.alias("k"), words(x).alias("w"))), lambda x: x["w"] > 0))
+
+    def last(near: Column) -> Column:
+        """Where the run along ``near`` has enough words; null if a long line or the end is before that."""
+        state = lambda n, at: F.struct(n.cast("int").alias("n"), at.cast("int").alias("at"))
+        step = lambda a, x: F.when((a["n"] < 0) | (a["n"] > long_words), a).otherwise(F.when(x["w"] > long_words, state(F.lit(-1), F.lit(None))).otherwise(state(a["n"] + x["w"], x["k"])))
+        return F.aggregate(near, state(F.lit(0), F.lit(None)), step, lambda a: F.when(a["n"] > long_words, a["at"]))
+
+    reach = long_words + 1  # lines, each of which has a word
+    down = F.transform("solid", lambda x, i: F.struct(x["k"].alias("a"), last(F.slice("solid", i + 1, F.lit(reach))).alias("b")))
+    up = F.transform("solid", lambda x, i: F.struct(last(F.reverse(F.slice("solid", F.greatest(i + 2 - reach, F.lit(1)), F.least(i + 1, F.lit(reach))))).alias("a"), x["k"].alias("b")))
+    df = df.withColumn("runs", F.array_distinct(F.filter(F.concat(down, up), lambda x: x["a"].isNotNull() & x["b"].isNotNull())))
+    body = lambda x: F.array_join(F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1), "\n")
+    return df.select("doc_id", "text_hash", F.inline(F.transform("runs", lambda x: F.struct(x["a"].alias("start"), (x["b"] - x["a"] + 1).alias("n_lines"), body(x).alias("body")))))
+
+
 def repeated_chunks(docs: DataFrame, least_lines: int = 2, **how) -> DataFrame:
     """Each chunk of at least ``least_lines`` lines, or of one long line, that an earlier equal one precedes.
 
@@ -47,7 +71,11 @@ def repeated_chunks(docs: DataFrame, least_lines: int = 2, **how) -> DataFrame:
     is then as good as the bytes, the chunks' places alone, without bytes, join that hash's group; hashes that several groups
     share, if there are any, join by bytes. All but the first of a group, by doc_id (null first), text hash and place, are
     repeats. Nothing above the joins groups by their keys, so Spark can split a chunk that a third of all documents hold."""
-    each = line_chunks(docs, **how).where((F.col("n_lines") >= least_lines) | F.col("long")).withColumn("hash", F.xxhash64("body"))
+    return _repeats(line_chunks(docs, **how).where((F.col("n_lines") >= least_lines) | F.col("long")))
+
+
+def _repeats(each: DataFrame) -> DataFrame:
+    each = each.withColumn("hash", F.xxhash64("body"))
     each = each.withColumn("owner", F.coalesce("doc_id", F.lit(-(1 << 63))))
     groups = each.groupBy("hash", "body").agg(F.min("owner").alias("first"), F.count("*").alias("n"))
     known = cut(groups.groupBy("hash").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("bodies")).where("n > 1"))
@@ -68,22 +96,29 @@ def _later(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(own, key).where((F.col("owner") != F.col("first")) | (at != F.col("stays"))).select("doc_id", "text_hash", "start", "n_lines")
 
 
-def remove_repeated_chunks(docs: DataFrame, least_lines: int = 2, **how) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, least_lines: int = 2, runs: bool = False, **how) -> DataFrame:
     """``docs`` with the repeats taken out of ``text``; also removed_chunks, removed_lines (long); other columns as they were.
 
     The lines that stay are joined by newlines; a text all of which is repeated becomes empty; null stays null.
     Rows with the same doc_id and text are one document and get the same text; a chunk that a document repeats
-    within itself is removed too. No rows give no rows. Columns of ``docs`` with a name of the added ones are replaced."""
-    gone = repeated_chunks(docs, least_lines, **how).groupBy(F.col("doc_id").alias("gone_doc_id"), F.col("text_hash").alias("gone_text_hash")).agg(F.collect_set(F.struct("start", "n_lines")).alias("gone"))
+    within itself is removed too. With ``runs`` repeated passages of short lines with more than ``long_words`` words go too, wherever
+    chunks end; each stretch of lines that they alone remove counts as a chunk. No rows give no rows. Columns of ``docs`` with a name of the added ones are replaced."""
+    gone = repeated_chunks(docs, least_lines, **how).withColumn("run", F.lit(False))
+    if runs:
+        found = _repeats(short_runs(docs, **{k: v for k, v in how.items() if k == "long_words"}))
+        gone = gone.unionByName(found.withColumn("run", F.lit(True)))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_doc_id"), F.col("text_hash").alias("gone_text_hash")).agg(F.collect_set(F.struct("start", "n_lines", "run")).alias("gone"))
     names = [x for x in docs.columns if x not in ("removed_chunks", "removed_lines")]
     here = docs.select(F.struct(*(f"`{x}`" for x in names)).alias("row"), F.col("doc_id").cast("long").alias("own_doc_id"), F.xxhash64(F.col("text").cast("string")).alias("own_text_hash"))
     both = here.join(gone, (F.col("own_text_hash") == F.col("gone_text_hash")) & F.col("own_doc_id").eqNullSafe(F.col("gone_doc_id")), "left")
     lines = F.split("row.text", "\n")
-    dropped = F.flatten(F.transform("gone", lambda x: F.sequence(x["start"], x["start"] + x["n_lines"] - 1)))
-    both = both.withColumn("dropped", dropped)
+    of = lambda run: F.flatten(F.transform(F.filter("gone", lambda x: x["run"] == run), lambda x: F.sequence(x["start"], x["start"] + x["n_lines"] - 1)))
+    both = both.withColumn("in_chunks", of(F.lit(False)))
+    both = both.withColumn("in_runs", F.array_except(of(F.lit(True)), "in_chunks")).withColumn("dropped", F.concat("in_chunks", "in_runs"))
+    stretches = F.size(F.array_except("in_runs", F.transform("in_runs", lambda k: k + 1)))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "dropped"), lambda k: F.get(lines, k)), "\n")
     return both.select(
         *(F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias(x) if x == "text" else F.col("row").getField(x).alias(x) for x in names),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.size(F.filter("gone", lambda x: ~x["run"])) + stretches, F.lit(0)).cast("long").alias("removed_chunks"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("removed_lines"),
     )

@@ -19,7 +19,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodespar.llm.chunks import remove_repeated_chunks
 
-    return remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), runs=True)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

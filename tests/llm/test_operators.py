@@ -365,6 +365,24 @@ def test_line_dedup_is_native(spark, docs):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_repeated_passages_of_short_lines_go_wherever_they_stand(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(n))
+    passages = [[line(n) for n in sizes] for sizes in ((20, 18, 17), (30, 25), (12, 3, 49, 2, 15, 40), (26, 25), (25, 25))]
+    passages[2].insert(2, "")
+    made, left = [], {}
+    for k in range(20):
+        before, after = [line(9) for _ in range(k % 4)], [line(11) for _ in range(k % 3)]
+        passage = passages[k % 5]
+        made.append((k, "\n".join([*before, *passage, *after])))
+        left[k] = "\n".join([*before, *(passage if k < 5 or k % 5 == 4 else []), *after])
+    got = chunks.remove_repeated_chunks(spark.createDataFrame(made, "doc_id long, text string"), runs=True).collect()
+    assert {r.doc_id: r.text for r in got if r.doc_id % 5 < 4} == {k: x for k, x in left.items() if k % 5 < 4}
+    assert all((r.removed_chunks > 0) == (r.removed_lines > 0) for r in got)
+    text = "\n".join(["of a kind"] * 30)
+    assert chunks.remove_repeated_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), runs=True).first().text.startswith("of a kind")
+
+
 # op9
 
 

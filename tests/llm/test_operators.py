@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -304,35 +305,50 @@ def test_half_copies_among_whole_ones_are_found(spark):
 # op8
 
 
-def brute_chunks(found, window=2, divisor=2):
-    """Texts after removal, with boundaries from Spark's own hash, which is XXH64 with seed 42."""
+def brute_chunks(found, long_words=50):
+    """Texts after removal; places are chosen with Spark's own hash, which is XXH64 with seed 42."""
     import struct
+    from collections import Counter
 
     import xxhash
 
     def h(data, seed=42):
-        x = xxhash.xxh64_intdigest(data, seed)
+        x = xxhash.xxh64_intdigest(data, seed % 2**64)
         return x - 2**64 if x >> 63 else x
 
-    def rolling(values):
+    def rolling(*values):  # Spark hashes columns one after the other, the last result as the seed
         seed = 42
-        for v in values:  # Spark hashes columns one after the other, the last result as the seed
-            seed = h(struct.pack("<q", v), seed % 2**64)
+        for form, v in values:
+            seed = h(struct.pack(form, v), seed)
         return seed
 
-    seen, out = {}, {}
-    per = {}
-    for doc, text in {x for x in found if x[1] is not None}:
+    def split(text):
         lines = text.split("\n")
-        hashes = [h(x.encode()) for x in lines]
-        big = [len(x.split(" ")) > 50 for x in lines]
-        starts = [k for k in range(len(lines)) if k == 0 or big[k] or big[k - 1] or rolling(hashes[max(0, k - window) : k]) % divisor == 0]
-        per[doc, text] = [(a, lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True) if b - a > 1 or big[a]]
-        for a, body in per[doc, text]:
-            seen.setdefault("\n".join(body), []).append((-(2**63) if doc is None else doc, h(text.encode()), a))
-    for (doc, text), own in per.items():
-        at = (-(2**63) if doc is None else doc, h(text.encode()))
-        gone = {a + k for a, body in own if min(seen["\n".join(body)]) != (*at, a) for k in range(len(body))}
+        solid = [k for k, x in enumerate(lines) if re.search(r"\S", x, re.A)]
+        hashes = {k: h(lines[k].encode()) for k in solid}
+        pairs = [(a, b - a + 1, rolling(("<q", hashes[a]), ("<q", hashes[b]), ("<i", b - a + 1))) for a, b in zip(solid, solid[1:], strict=False)]
+        roll = [r for *_, r in pairs]
+        chosen = [len(lines[a]) + len(lines[a + n - 1]) >= 2 * long_words or k in (0, len(pairs) - 1) or r <= max(roll[k - 1], roll[k + 1]) for k, (a, n, r) in enumerate(pairs)]
+        singles = [(k, 1, rolling(("<q", hashes[k]), ("<i", 1))) for k in solid if len(re.split(r"[ \t\n\x0b\f\r]+", lines[k].strip(" "))) > long_words]
+        return lines, pairs, chosen, singles
+
+    rows = [x for x in found if x[1] is not None]
+    count = Counter()
+    for _, text in rows:
+        _, pairs, chosen, singles = split(text)
+        count.update(r for (*_, r), yes in zip(pairs, chosen, strict=True) if yes)
+        count.update(r for *_, r in singles)
+    seen, out = {}, {}
+    for doc, text in set(rows):
+        lines, pairs, chosen, singles = split(text)
+        at = {k for k, (*_, r) in enumerate(pairs) if chosen[k] and count[r] > 1}
+        at |= {k + d for k in at for d in (-1, 1) if 0 <= k + d < len(pairs)}
+        out[doc, text] = [(a, n, "\n".join(lines[a : a + n])) for a, n, _ in [*(pairs[k] for k in at), *(x for x in singles if count[x[2]] > 1)]]
+        for a, _, body in out[doc, text]:
+            seen.setdefault(body, []).append((-(2**63) if doc is None else doc, h(text.encode()), a))
+    for (doc, text), own in out.items():
+        place = (-(2**63) if doc is None else doc, h(text.encode()))
+        gone = {a + k for a, n, body in own if min(seen[body]) != (*place, a) for k in range(n)}
         out[doc, text] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
     return out
 
@@ -355,9 +371,8 @@ def test_chunks_with_equal_hashes_are_told_apart(spark, monkeypatch):
     """With a hash that is the same for all, bytes decide."""
     made = spark.createDataFrame([(k, f"line {k % 3}\n{'word ' * 60}{k % 3}") for k in range(6)], "doc_id long, text string")
     plain = rows(chunks.remove_repeated_chunks(made))
-    real = chunks.line_chunks
-    monkeypatch.setattr(chunks.F, "xxhash64", lambda *c, f=F.xxhash64: F.lit(1).cast("long") if isinstance(c[0], str) and c[0] == "body" else f(*c))
-    assert rows(chunks.remove_repeated_chunks(made)) == plain and real
+    monkeypatch.setattr(chunks.F, "xxhash64", lambda *c, f=F.xxhash64: F.lit(1).cast("long") if len(c) > 1 else f(*c))
+    assert rows(chunks.remove_repeated_chunks(made)) == plain
 
 
 def test_line_dedup_is_native(spark, docs):
@@ -368,19 +383,39 @@ def test_line_dedup_is_native(spark, docs):
 def test_repeated_passages_of_short_lines_go_wherever_they_stand(spark):
     rng = random.Random(6)
     line = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(n))
-    passages = [[line(n) for n in sizes] for sizes in ((20, 18, 17), (30, 25), (12, 3, 49, 2, 15, 40), (26, 25), (25, 25))]
+    passages = [[line(n) for n in sizes] for sizes in ((20, 18, 17), (30, 25), (12, 3, 49, 2, 15, 40), (26, 25), (60,))]
     passages[2].insert(2, "")
     made, left = [], {}
     for k in range(20):
         before, after = [line(9) for _ in range(k % 4)], [line(11) for _ in range(k % 3)]
-        passage = passages[k % 5]
-        made.append((k, "\n".join([*before, *passage, *after])))
-        left[k] = "\n".join([*before, *(passage if k < 5 or k % 5 == 4 else []), *after])
-    got = chunks.remove_repeated_chunks(spark.createDataFrame(made, "doc_id long, text string"), runs=True).collect()
-    assert {r.doc_id: r.text for r in got if r.doc_id % 5 < 4} == {k: x for k, x in left.items() if k % 5 < 4}
+        made.append((k, "\n".join([*before, *passages[k % 5], *after])))
+        left[k] = "\n".join([*before, *(passages[k % 5] if k < 5 else []), *after])
+    got = chunks.remove_repeated_chunks(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == left
     assert all((r.removed_chunks > 0) == (r.removed_lines > 0) for r in got)
     text = "\n".join(["of a kind"] * 30)
-    assert chunks.remove_repeated_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), runs=True).first().text.startswith("of a kind")
+    assert chunks.remove_repeated_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text.startswith("of a kind")
+
+
+@pytest.mark.parametrize("size", [3, 4, 6, 10])
+def test_repeated_blocks_go_in_foreign_surroundings(spark, size):
+    rng = random.Random(size)
+    line = lambda: " ".join("".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(rng.randint(2, 5)))
+    blocks = [[line() for _ in range(size)] for _ in range(20)]
+    around = {k: ([line() for _ in range(5)], [line() for _ in range(5)]) for k in range(200)}
+    made = [(k, "\n".join([*a, *blocks[k % 20], *b])) for k, (a, b) in around.items()]
+    left = {r.doc_id: r.text for r in chunks.remove_repeated_chunks(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert left == {k: "\n".join([*a, *(blocks[k % 20] if k < 20 else []), *b]) for k, (a, b) in around.items()}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = " ".join(f"w{k}" for k in range(60))
+    made = spark.createDataFrame([(1, line, 5), (2, f"{line}\nx", 6), (3, "y", 7)], "doc_id long, text string, n_chars int").withColumn("removed_chunks", F.lit(77))
+    for x in ("a.b", "tick`", "row", "kept", "gone", "lines", "owner", "text_hash"):
+        made = made.withColumn(x, F.lit("own"))
+    got = chunks.dedup_lines(made)
+    assert got.columns == made.columns and got.schema["n_chars"].dataType == made.schema["n_chars"].dataType
+    assert rows(got)[1][:4] == (2, "x", 1, 77) and rows(got)[0] == rows(made)[0] and rows(got)[2] == rows(made)[2] and set(rows(got)[1][4:]) == {"own"}
 
 
 # op9

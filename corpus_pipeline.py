@@ -6,9 +6,8 @@ Between stages the documents are written and read again."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodespar.llm.chunks import remove_repeated_chunks
+from lodespar.llm.chunks import dedup_lines
 from lodespar.llm.common import new_folder, table
 from lodespar.llm.decontaminate import drop_contaminated
 from lodespar.llm.language import keep_known_languages
@@ -23,9 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines leave ``text``, and ``n_chars`` follows it. Documents stay."""
-    n_chars = docs.schema["n_chars"].dataType
-    found = remove_repeated_chunks(docs)
-    return found.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast(n_chars)).otherwise(F.col("n_chars"))).select(docs.columns)
+    return dedup_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

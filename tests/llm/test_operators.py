@@ -439,6 +439,27 @@ def test_toxicity(spark, odd, empty, labels):
     assert {round(r.score, 6) for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_of_a_pair_whose_words_alone_tell_nothing(spark):
+    """Label 1: exactly one of two words."""
+    rng = random.Random(9)
+    calm = ["".join(rng.choice("aeioustrnl") for _ in range(6)) for _ in range(300)]
+    made, own = [], []
+    for k in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        made.append((k, " ".join([*rng.choices(calm, k=40), *(["grumbo"] if a else []), *(["vexoid"] if b else [])])))
+        own.append((k, int(a != b)))
+    got = toxicity.toxicity(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(own, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == own[r.doc_id][1] for r in held) >= 0.95 * len(held)
+
+
+def test_repeated_rows_are_one_in_the_sample(spark):
+    docs = spark.createDataFrame([(1, "a b"), *[(2, "c d")] * 500, (3, "e")], "doc_id long, text string")
+    own = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1), (3, 2)], "doc_id long, toxic int")
+    sample, rate, prior = toxicity.labelled_sample(docs, own, 6000, 1 << 20)
+    assert rows(sample.select("toxic", "text", "times")) == [(0, "c d", 500), (0, "e", 1), (1, "a b", 1)] and rate == {0: 1.0, 1: 1.0} and prior == 1.5 / 503
+
+
 # the pipeline
 
 

@@ -250,3 +250,48 @@ def test_machine_learns_a_pair():
     assert abs(v[0] @ v[1]) > abs(v[0] @ v[2])
 
 
+
+
+def test_features_are_the_known_terms():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("aei") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    every = sorted(set().union(*(toxicity.terms(x, 1 << 20) for x in texts)))
+    place = {x: k for k, x in enumerate(rng.sample(every, len(every) // 3))}
+    w, v = np.random.default_rng(0).normal(0, 0.1, len(place)), np.random.default_rng(1).normal(0, 0.1, (len(place), 3))
+    machine = toxicity.FactorizationMachine(place, 1 << 20, -1.0, w, v, memory=50)
+    for x in texts:
+        at = sorted(place[t] for t in toxicity.terms(x, 1 << 20) if t in place)
+        assert machine.features(x) == at
+        raw = -1.0 + sum(w[k] for k in at) + sum(v[i] @ v[k] for n, k in enumerate(at) for i in at[:n])
+        assert abs(machine.score(x) - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_levels_have_no_end():
+    got = [toxicity.levels(n) for n in (1, 2, 16, 17, 32, 33, 64, 65, 2**40)]
+    assert got == [1, 2, 16, 17, 17, 18, 18, 19, 52] and max(got) < toxicity.LEVELS
+
+
+def test_blocks_of_rows_don_t_change_the_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, label = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(50)], rng.integers(0, 2, 50).astype(float)
+    one = toxicity.fit_machine(rows, label, np.ones(50), 6, epochs=20)
+    monkeypatch.setattr(toxicity._Rows.__init__, "__defaults__", (42,))
+    many = toxicity.fit_machine(rows, label, np.ones(50), 6, epochs=20)
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(one, many, strict=True))
+
+
+def test_pair_scores_like_plain_sums():
+    rng = np.random.default_rng(4)
+    rows = [sorted(set(rng.integers(0, 9, 4).tolist())) for _ in range(60)]
+    error, spread = rng.normal(0, 0.4, 60), rng.uniform(0.1, 0.25, 60)
+    first, column = np.cumsum([0, *map(len, rows)]), np.array([k for r in rows for k in r])
+    z = np.zeros((12, 12))
+    for i in range(9):
+        for j in range(9):
+            both = [k for k, r in enumerate(rows) if i in r and j in r and i != j]
+            z[i, j] = abs(error[both].sum()) / np.sqrt(spread[both].sum() + 5 * spread.mean())
+    for a in range(3):
+        for b in range(a, 3):
+            got = toxicity.pair_scores(first, column, error, spread, a, b, 4, 5)
+            part = z[4 * a : 4 * a + 4, 4 * b : 4 * b + 4]
+            assert np.allclose(got[0], part.max(1), atol=1e-4) and np.allclose(got[1], part.max(0), atol=1e-4)

@@ -84,11 +84,11 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")]), base + int(window.max()) + 1
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base, rows = encoder(path).encode, TaskContext.get().partitionId() << 32, []
+        encode, base, rows = encoder(path).encode_all, TaskContext.get().partitionId() << 32, []
         end = np.array([end_id], ID).tobytes()
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
+                ids += end
                 total, step = len(ids) // ID.itemsize, size * ID.itemsize
                 rows += [(doc, k // ID.itemsize, len(piece := ids[k : k + step]) // ID.itemsize, zlib.crc32(piece), total) for k in range(0, len(ids), step)]
                 if len(rows) >= pieces_at_once:

@@ -55,19 +55,19 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 def _code(index: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols' indices, blocks x STEPS x LANES, as states, words per block, words."""
-    start = (np.cumsum(freq) - freq).astype(np.uint64)
-    freq = freq.astype(np.uint64)
-    blocks = len(index)
-    state = np.full((blocks, LANES), LOW, np.uint64)
+    start, freq = (np.cumsum(freq) - freq).astype(np.uint32), freq.astype(np.uint32)
+    blocks, half = len(index), np.uint32(16)
+    state = np.full((blocks, LANES), LOW, np.uint32)
     sent, word = np.zeros((blocks, STEPS, LANES), bool), np.zeros((blocks, STEPS, LANES), np.uint16)
     for t in range(STEPS - 1, -1, -1):
-        f = freq[index[:, t]]
-        full = state >= (f << np.uint64(16))
-        sent[:, t], word[:, t] = full, state & np.uint64(0xFFFF)
-        state = np.where(full, state >> np.uint64(16), state)
-        q = state // f
-        state = (q << np.uint64(SCALE_BITS)) + (state - q * f) + start[index[:, t]]
-    return state.astype(np.uint32), sent.sum((1, 2), dtype=np.uint32), word[sent]
+        s = index[:, t]
+        f, high = freq[s], state >> half
+        sent[:, t] = full = high >= f
+        word[:, t] = state  # its low half
+        state = np.where(full, high, state)
+        q = state // f  # below 2**16 now
+        state += (q << half) - q * f + start[s]
+    return state, sent.sum((1, 2), dtype=np.uint32), word[sent]
 
 
 def _decode(state: np.ndarray, sizes: np.ndarray, words: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or public_path()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         end, before, segment = np.array([end_id], ID).tobytes(), 0, 0
         doc_ids, sizes, held, n = [], [], [], 0
 
@@ -159,8 +159,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((part, pa.int64()), (segment, pa.int64()), (n, pa.int64()), (data, pa.binary()))], names=["part", "segment", "n_tokens", "data"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                held.append(encode(text) + end)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
+                held.append(ids + end)
                 doc_ids.append(doc)
                 sizes.append(len(held[-1]) // ID.itemsize)
                 n += sizes[-1]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -50,21 +51,43 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _UNSURE.search(text) or any(x in text for x in self.added):
-            return self.whole(text)
-        words = _WORD.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        fresh = set(words)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str], at_once: int = 1 << 20) -> Iterator[bytes]:
+        """Each text's ids, in order. New words are asked for together, for texts of ``at_once`` characters or one longer text."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= at_once:
+                yield from self._group(held)
+                held, size = [], 0
+        yield from self._group(held)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        split = [None if not self.by_word or _UNSURE.search(x) or any(y in x for y in self.added) else _WORD.findall(x) for x in texts]
         if self.held > self.memory:
             self.known, self.held = {}, 0
-        fresh = [x for x in fresh if x not in self.known]
+        fresh = set().union(*(x for x in split if x)).difference(self.known)
         self.held += sum(map(len, fresh))
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        spaced = [x for x in fresh if x[0] == " " and x[1:2] > " "]
+        for k in range(0, len(spaced), 256):
+            self._learn_spaced(spaced[k : k + 256])
+        self._learn([x for x in fresh if x not in self.known])
+        for text, words in zip(texts, split, strict=True):
+            yield self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.asarray(got.ids, ID).tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn_spaced(self, words: list[str]) -> None:
+        """Words of one space and what follows it are split at their spaces again when joined, so one call encodes them all."""
+        got = self.tokenizer.encode("".join(words), add_special_tokens=False)
+        sizes = np.bincount(np.asarray(got.word_ids, np.int64), minlength=len(words)) * ID.itemsize
+        if len(sizes) == len(words) and sizes.all():
+            data, ends = np.asarray(got.ids, ID).tobytes(), np.cumsum(sizes).tolist()
+            self.known.update(zip(words, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -9,10 +9,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, in_arrow, texts
+from lodespar.llm.common import cut, in_arrow, quoted, texts
 from lodespar.llm.components import connected_components
 
 BITS = 64
@@ -39,14 +39,15 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (long) of every row; a null text counts as empty."""
+    """doc_id, text_hash and fingerprint (all long) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x, width, seed) for x in texts(batch)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").transform(in_arrow, run, "doc_id long, fingerprint long")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
+    return rows.transform(in_arrow, run, "doc_id long, text_hash long, fingerprint long")
 
 
 def block_plan(distinct: int, radius: int, tile: int) -> tuple[int, int]:
@@ -68,17 +69,10 @@ def tile_links(prints: np.ndarray, left: int, radius: int, step: int = 256) -> l
 
     ``left``: how many are of the first tile, to be compared with the rest; if all are, with each other. Sub-tiles of
     ``step`` are compared by exclusive-or and bit counts, unless their population counts differ beyond the radius.
-    A vertex that a link has already joined to another gets no second link to it, so at most one link a row comes out."""
+    What links have already joined gets no second link, so at most one link a row comes out."""
     ones = np.bitwise_count(prints).astype(np.int64)
     inside = left == len(prints)
-    root = list(range(len(prints)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    root = np.arange(len(prints))
     links = []
     for a in range(0, left, step):
         b = min(a + step, left)
@@ -86,46 +80,78 @@ def tile_links(prints: np.ndarray, left: int, radius: int, step: int = 256) -> l
             d = min(c + step, len(prints))
             if ones[c] - ones[b - 1] > radius or ones[a] - ones[d - 1] > radius:
                 continue
-            for i, j in zip(*np.nonzero(np.bitwise_count(prints[a:b, None] ^ prints[None, c:d]) <= radius), strict=True):
-                p, q = find(a + int(i)), find(c + int(j))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    links.append((a + int(i), c + int(j)))
+            i, j = np.nonzero(np.bitwise_count(prints[a:b, None] ^ prints[None, c:d]) <= radius)
+            i, j = i + a, j + c
+            while True:
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    break
+                links.append((int(i[0]), int(j[0])))
+                root[root == root[j[0]]] = root[i[0]]
     return links
 
 
+def _tiles(keyed: DataFrame, tile: int) -> DataFrame:
+    """choice, bits, tiles of each group of more than ``tile`` rows: ranges lo..hi of population counts of about ``tile`` rows, each with
+    the number of parts it is dealt to by hash, if one count alone has more. There are 65 counts at most, so an array is small."""
+    key = ["choice", "bits"]
+    by_count = keyed.groupBy(*key, "ones").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*key)  # of 65 rows at most
+    by_count = by_count.withColumn("of", F.sum("n").over(group)).where(F.col("of") > tile)
+    by_count = by_count.withColumn("nth", F.floor((F.sum("n").over(group.orderBy("ones")) - F.col("n")) / tile))
+    ranges = by_count.groupBy(*key, "nth").agg(F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.ceil(F.sum("n") / tile).cast("int").alias("parts"))
+    return ranges.groupBy(*key).agg(F.collect_list(F.struct("lo", "hi", "parts")).alias("tiles"))
+
+
+def tile_pairs(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """choice, bits, p, q, second, ones, fingerprint: ``keyed`` (choice, bits, ones, fingerprint) dealt to pairs (p, q) of tiles, p <= q.
+
+    A row goes to its own tile, and to a pair with another one only if that has population counts within the radius of the
+    row's; all other pairs are skipped here, before anything is shuffled. ``second``: whether the row is of the tile q."""
+    keyed = keyed.join(_tiles(keyed, tile), ["choice", "bits"], "left")
+    tiles = F.coalesce("tiles", F.array(F.struct(F.lit(0).alias("lo"), F.lit(BITS).alias("hi"), F.lit(1).alias("parts"))))
+    keyed = keyed.withColumn("tiles", tiles)
+    number = lambda t, part: (t["lo"].cast("long") * (1 << 32) + part).alias("number")
+    mine = F.filter("tiles", lambda t: F.col("ones").between(t["lo"], t["hi"]))
+    keyed = keyed.withColumn("mine", F.get(mine, F.lit(0)))
+    keyed = keyed.withColumn("own", number(F.col("mine"), F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("mine")["parts"])))
+    near = F.filter("tiles", lambda t: F.col("ones").between(t["lo"] - radius, t["hi"] + radius))
+    others = F.flatten(F.transform(near, lambda t: F.transform(F.sequence(F.lit(0), t["parts"] - 1), lambda part: number(t, part))))
+    keyed = keyed.withColumn("other", F.explode(others))
+    return keyed.select("choice", "bits", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "ones", "fingerprint")
+
+
 def near_links(prints: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
     """For distinct ``fingerprint`` values, links (a, b) that connect exactly those within ``radius``, directly or by others.
 
     Two fingerprints within the radius agree on some choice of blocks (see ``block_plan``), so each row goes to
-    one group for each choice. A group of more than ``tile`` rows is cut into tiles, each pair of which is a group
-    of its own: no task ever holds more than two tiles, however many fingerprints share the bits."""
+    one group for each choice. A group of more than ``tile`` rows is cut into tiles by population count, and each pair of tiles
+    within the radius is a group of its own: no task ever holds more than some four tiles, however many fingerprints share the bits."""
     blocks, agreeing = block_plan(prints.count(), radius, tile)
     edges = [round(k * BITS / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen) for chosen in combinations(range(blocks), agreeing)]
     signed = [x - (1 << BITS) if x >> 63 else x for x in masks]
-    keyed = prints.select("fingerprint", F.posexplode(F.array(*(F.col("fingerprint").bitwiseAND(F.lit(x)) for x in signed))).alias("choice", "bits"))
-    large = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > tile).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    keyed = keyed.join(large.select("choice", "bits", "tiles"), ["choice", "bits"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("tiles")).cast("int")
-    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))))
-    keyed = keyed.select("choice", "bits", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), F.bit_count("fingerprint").alias("ones"), "fingerprint")
-    key = ["choice", "bits", "p", "q"]
-    keyed = keyed.repartition(*key).sortWithinPartitions(*key, "second", "ones", "fingerprint")
+    keyed = prints.select("fingerprint", F.bit_count("fingerprint").alias("ones"), F.posexplode(F.array(*(F.col("fingerprint").bitwiseAND(F.lit(x)) for x in signed))).alias("choice", "bits"))
+    key, names = ["choice", "bits", "p", "q"], ["choice", "bits", "p", "q", "second", "fingerprint"]
+    keyed = tile_pairs(keyed, radius, tile).repartition(*key).sortWithinPartitions(*key, "second", "ones", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # of the group that the next batch may go on with
+        out: list[tuple[int, int]] = []
 
-        def close() -> pa.RecordBatch:
+        def close() -> None:
             rows = np.concatenate(held, axis=1)
             left = int(np.count_nonzero(rows[4] == 0))
-            prints = rows[5].view(np.uint64)
-            if left and rows.shape[1] > 1:
-                for i, j in tile_links(prints, left, radius):
-                    out.append((rows[5, i], rows[5, j]))
+            one = rows[2, 0] == rows[3, 0]
+            if rows.shape[1] > 1 and (one or 0 < left < rows.shape[1]):
+                out.extend((int(rows[5, i]), int(rows[5, j])) for i, j in tile_links(rows[5].view(np.uint64), left, radius))
+
+        def found() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+            return batch
 
-        out: list[tuple[int, int]] = []
-        names = [*key, "second", "fingerprint"]
         for batch in batches:
             rows = np.stack([batch.column(x).cast(pa.int64()).to_numpy(zero_copy_only=False) for x in names])
             if not rows.shape[1]:
@@ -141,40 +167,57 @@ def near_links(prints: DataFrame, radius: int = 4, tile: int = 2048) -> DataFram
                     if len(held) > 1 or b - a > 1:
                         close()
                     held = []
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            out = []
+            yield found()
         if held:
             close()
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield found()
 
-    return keyed.select(*names_of(key)).transform(in_arrow, run, "a long, b long")
+    return keyed.select(*names).transform(in_arrow, run, "a long, b long")
 
 
-def names_of(key: list[str]) -> list[str]:
-    return [*key, "second", "fingerprint"]
+def _components(rows: DataFrame, radius: int, tile: int, best) -> tuple[DataFrame, DataFrame]:
+    """From ``fingerprints``: fingerprint, best, root of every distinct one (root null if nothing links it), and root, best of every component.
+
+    ``best``: an aggregate that is the least of something. Fingerprints that nothing links stay out of the grouping."""
+    own = rows.groupBy("fingerprint").agg(best.alias("best"))
+    reached = cut(connected_components(near_links(own.select("fingerprint"), radius, tile)))
+    named = own.join(reached.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left")
+    return named, named.where("root is not null").groupBy("root").agg(F.min("best").alias("best"))
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, tile: int = 2048) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, tile: int = 2048, salts: int = 16) -> DataFrame:
     """doc_id, fingerprint (long) and component_id of every row of ``docs`` (doc_id, text).
 
     component_id: the least doc_id of all rows that links within ``radius`` reach, itself included (null if all are
     null). Equal fingerprints are one vertex, so thousands of copies are one row to compare. Repeated doc_ids with
     different texts are rows of their own; null and empty texts have fingerprint zero and are linked like any
-    other; no rows give no rows; other columns are ignored."""
+    other; no rows give no rows; other columns are ignored. A component's fingerprints meet its id in ``salts`` groups."""
     rows = cut(fingerprints(docs, width, seed))
-    own = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    reached = cut(connected_components(near_links(own.select("fingerprint"), radius, tile)))
-    named = own.join(reached.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    labels = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(labels, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def near_dedup(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component kept: the one with the least doc_id; columns as they were.
-
-    Of repeated rows with that doc_id all stay unless their fingerprints differ in component; rows with a null
-    doc_id stay only if their whole component has none."""
-    parts = simhash_components(docs.select("doc_id", "text"), radius)
-    keep = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    named, parts = _components(rows, radius, tile, F.min("doc_id"))
+    named = cut(named)
+    salt = F.pmod(F.xxhash64("fingerprint", F.lit(11)), F.lit(salts)).cast("int")
+    parts = parts.select("root", F.col("best").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    linked = named.where("root is not null").select("fingerprint", "root", salt.alias("salt")).join(parts, ["root", "salt"]).select("fingerprint", "component_id")
+    alone = named.where("root is null").select("fingerprint", F.col("best").alias("component_id"))
+    return rows.join(linked.unionByName(alone), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def near_dedup(docs: DataFrame, radius: int = 4, tile: int = 2048) -> DataFrame:
+    """``docs`` with one row of each component kept: the one with the least doc_id (null after all others), of several that
+    with the least text hash, and any one of rows that equal it in both; columns as they were."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = cut(fingerprints(docs.select("doc_id", "text")))
+    named, parts = _components(rows, radius, tile, F.min(order))
+    keep = parts.select("best.*").unionByName(named.where("root is null").select("best.*"))
+    times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
+    keep = keep.join(times, same(keep, times), "left").select(keep["doc_id"].alias("keep_id"), keep["text_hash"].alias("keep_hash"), F.coalesce("n", F.lit(1)).alias("n"))
+    keep = cut(keep)
+    here = docs.select(F.struct(*(quoted(x) for x in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    match = (F.col("own_hash") == F.col("keep_hash")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
+    kept = here.join(keep.where("n = 1"), match, "left_semi")
+    repeated = keep.where("n > 1")
+    if not repeated.isEmpty():
+        again = here.join(repeated, match, "left_semi").groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+        kept = kept.select("row").unionByName(again.select("row"))
+    return kept.select(*(F.col("row").getField(x).alias(x) for x in docs.columns))

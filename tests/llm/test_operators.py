@@ -187,9 +187,37 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(7, 7), (None, 3)]
     got = {r.vertex: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(60)}}
+    assert got == {r.vertex: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), hot=5).collect()}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_tile_pairs_beyond_the_radius_are_never_shuffled(spark):
+    rng = random.Random(1)
+    made = {sum(1 << b for b in rng.sample(range(63), rng.randint(5, 55))) for _ in range(600)}
+    keyed = spark.createDataFrame([(0, 0, x.bit_count(), x) for x in made], "choice int, bits long, ones int, fingerprint long")
+    found = simhash.tile_pairs(keyed, 4, 20).collect()
+    tile_of = {r.fingerprint: r.p for r in found if r.p == r.q}
+    assert set(tile_of) == made and max(sum(t == x for t in tile_of.values()) for x in set(tile_of.values())) <= 60
+    met = {(r.p, r.q) for r in found}
+    assert len(met) < 0.6 * len(set(tile_of.values())) ** 2 / 2
+    at = {(r.p, r.q, r.fingerprint) for r in found}
+    for x in made:
+        for y in made:
+            p, q = sorted((tile_of[x], tile_of[y]))
+            assert abs(x.bit_count() - y.bit_count()) > 4 or {(p, q, x), (p, q, y)} <= at
+    one = simhash.tile_pairs(spark.createDataFrame([(0, 0, 3, (1 << a) | (1 << b) | (1 << c)) for a in range(9) for b in range(a) for c in range(b)], "choice int, bits long, ones int, fingerprint long"), 4, 10).collect()
+    assert len({r.p for r in one}) == 9 and len({r.fingerprint for r in one}) == 84  # parts of a single count
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    made = [(3, text, "a"), (2, text, "b"), (2, text, "c"), (2, "other words here", "d"), (None, text, "e"), (None, "alone", "f"), (None, "alone", "g"), (None, "by itself too", "h"), (7, "other words here", "i"), (9, None, "j"), (8, "", "k")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, `a.b` string").withColumn("kept_id", F.lit(1)).withColumn("keep_id", F.lit(1)).withColumn("row", F.lit(1))
+    got = simhash.near_dedup(docs)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == docs.columns and sorted(kept, key=repr) == sorted([(2, text), (2, "other words here"), (None, "alone"), (None, "by itself too"), (8, "")], key=repr)
+
+
 # op4
 
 

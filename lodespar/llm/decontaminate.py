@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespar.llm.common import cut, in_arrow
+from lodespar.llm.common import cut, in_arrow, quoted
 
 SCHEMA = "doc_id long, item_id long, score double, matched_words long, char_start long, char_end long"
 _WORD = re.compile(r"\w+")
@@ -21,6 +21,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
+def folded(text: str) -> str:
+    """``text`` in lower case, character by character: one whose lower case is longer stays, so that places are those of ``text``."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(y if len(y := x.lower()) == 1 else x for x in text)
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """The best local alignment's score of the word numbers a and b, and where it ends in b (exclusive); negative numbers match nothing."""
     row, place = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1)
@@ -60,13 +66,13 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int, str]], width: int) -> Items:
         vocabulary: dict[str, int] = {}
-        words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall((text or "").lower())], np.int64) for _, text in rows]
+        words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(folded(text or ""))], np.int64) for _, text in rows]
         kept = [(i, w) for (i, _), w in zip(rows, words, strict=True) if len(w)]
         hashes = np.array([zlib.crc32(w.encode()) | zlib.crc32(w.encode()[::-1] + b"#") << 32 for w in vocabulary], np.uint64)
         return cls(width, [i for i, _ in kept], [w for _, w in kept], vocabulary, hashes)
 
     def numbers(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
+        words = _WORD.findall(folded(text))
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +87,11 @@ class Items:
             key ^= key >> np.uint64(31)
         return place, key
 
-    def choose(self, found_in: dict[int, int] | None = None, seeds: int = 0, rare: int = 0) -> None:
-        """Seeds: all n-grams; with ``found_in`` only those of each item that at most ``rare`` documents have, and its ``seeds`` rarest in any case."""
+    def choose(self) -> None:
+        """Seeds: all n-grams of all items."""
         keys, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, words in enumerate(self.words):
             at, key = self.grams(words)
-            if found_in is not None and len(key):
-                df = np.array([found_in.get(int(x), 0) for x in key.view(np.int64)], np.int64)
-                few = df <= max(rare, int(np.sort(df)[min(seeds, len(df)) - 1]))
-                at, key = at[few], key[few]
             keys.append(key)
             items.append(np.full(len(key), n))
             places.append(at)
@@ -170,23 +172,14 @@ class Items:
         return int(np.minimum(count[x], times[y]).sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
-    """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it has a copy of.
-
-    Columns: doc_id, item_id, score, matched_words, char_start, char_end (code points of the aligned span). The score
-    is the local alignment's (match 2, mismatch -1, gap -1) over that of the whole item; ``least`` and more are copies,
-    so that a third of the words may be edited, or half of the item missing. Seeds are all word n-grams of ``width`` words of
-    an item, however many documents have them. Before alignment an item goes that shares too few words with the document, or
-    with the region about its seeds, to reach ``least``: that bound never drops a copy. The benchmark is broadcast in
-    parts of about ``part_words`` words, one scan each, so a hot seed is never shuffled and no broadcast grows.
-
-    Null and empty texts and items without words match nothing; repeated rows give repeated rows; several copies of
-    an item in a document are one row, of the best; other columns are ignored; empty tables give no rows."""
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, least: float, part_words: int) -> DataFrame:
+    """What ``contaminated`` gives, and the document's text_hash."""
     spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
     own = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null")
     total = own.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first().n or 0
     parts, out = max(1, -(-int(total) // part_words)), None
+    schema = SCHEMA.replace("doc_id long", "doc_id long, text_hash long")
     for part in range(parts):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         items = Items.of([(x.item_id, x.text) for x in rows], width)
@@ -197,21 +190,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: f
             items = chosen.value
             for batch in batches:
                 found = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                     got = items.matches(text or "", least)
                     if got:
-                        spans = [x.span() for x in _WORD.finditer(text.lower())]
-                        found += [(doc, i, score, n, spans[a][0], spans[b - 1][1]) for i, score, n, a, b in got]
-                columns = list(zip(*found, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if k == 2 else pa.int64()) for k, x in enumerate(columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                        spans = [x.span() for x in _WORD.finditer(folded(text))]
+                        found += [(doc, key, i, score, n, spans[a][0], spans[b - 1][1]) for i, score, n, a, b in got]
+                columns = list(zip(*found, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if k == 3 else pa.int64()) for k, x in enumerate(columns)], names=[x.split()[0] for x in schema.split(", ")])
 
-        got = docs.transform(in_arrow, match, SCHEMA)
+        got = docs.transform(in_arrow, match, schema)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that have a copy of a test item; columns as they were. A null doc_id's row goes
-    if any row with a null doc_id has a copy."""
-    bad = cut(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
+    """A row for each document of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) that it has a copy of.
+
+    Columns: doc_id, item_id, score, matched_words, char_start, char_end (code points of the aligned span). The score
+    is the local alignment's (match 2, mismatch -1, gap -1) over that of the whole item; ``least`` and more are copies,
+    so that a third of the words may be edited, or half of the item missing. Seeds are all word n-grams of ``width`` words of
+    an item, however many documents have them. Before alignment an item goes that shares too few words with the document, or
+    with the region about its seeds, to reach ``least``: that bound never drops a copy. The benchmark is broadcast in
+    parts of about ``part_words`` words, one scan each, so a hot seed is never shuffled and no broadcast grows.
+
+    Null and empty texts and items without words match nothing; repeated rows give repeated rows; several copies of
+    an item in a document are one row, of the best; other columns are ignored; empty tables give no rows."""
+    return _found(docs, benchmark, width, least, part_words).drop("text_hash")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, least: float = 0.4, part_words: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose text has a copy of a test item, whatever other rows share their doc_id; columns as they were."""
+    bad = cut(_found(docs, benchmark, width, least, part_words).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
+    here = docs.select(F.struct(*(quoted(x) for x in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_hash"))
+    clean = here.join(bad, (F.col("own_hash") == F.col("bad_hash")) & F.col("own_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return clean.select(*(F.col("row").getField(x).alias(x) for x in docs.columns))

@@ -330,6 +330,23 @@ def test_half_copies_among_whole_ones_are_found(spark):
     assert sorted(r.doc_id for r in got) == list(range(54)) and all(r.score == 0.5 for r in got if r.doc_id >= 50)
 
 
+def test_places_are_those_of_the_text_itself(spark):
+    item = "Seven grey cats sat on the long wall and sang İstanbul songs until noon"
+    text = f"İİ İ x İ {item.upper().replace('İSTANBUL', 'İstanbul')} the end"
+    got = decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).first()
+    assert got.score == 1.0 and text[got.char_start : got.char_end].lower() == item.lower()
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = " ".join(f"word{k}" for k in range(30))
+    made = [(1, f"a b {item} c"), (1, "clean text of the same id"), (None, f"x {item}"), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    for x in ("bad_id", "bad_hash", "a.b", "row", "own_id"):
+        docs = docs.withColumn(x, F.lit("own"))
+    got = decontaminate.drop_contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert got.columns == docs.columns and sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted([made[1], made[3], made[4]], key=repr)
+
+
 # op8
 
 

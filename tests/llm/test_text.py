@@ -165,7 +165,7 @@ def test_edited_copies_are_found():
     words = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 8))) for _ in range(600)]
     rows = [(k, " ".join(rng.choice(words) for _ in range(40))) for k in range(60)]
     items = decontaminate.Items.of(rows, 3)
-    items.choose({}, 16, 1)
+    items.choose()
     found = 0
     for k, text in rows:
         copy = [rng.choice(words) if rng.random() < 0.2 else w for w in text.split()]
@@ -175,6 +175,11 @@ def test_edited_copies_are_found():
     assert items.matches(" ".join(rng.choices(words, k=5000)), 0.5) == []
 
 
+def test_folding_keeps_places():
+    assert decontaminate.folded("ABC d") == "abc d" and decontaminate.folded("İxÄ Α") == "İxä α"
+    assert all(len(decontaminate.folded(x)) == len(x) for x in ("İİİ İ", "ẞß", "".join(map(chr, range(1, 0x3000)))))
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p><p>no</p>";</script><style>p{}</style></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=1>Menu</a></ul></nav><div class="cookie-notice">We use cookies, lots of them, really very many cookies.</div>
 %s<h1>Title &amp; more</h1><p>First   paragraph of the <b>art</b>icle, which is long enough to count as such.<br>Next line.<p>Short.

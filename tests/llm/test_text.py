@@ -220,6 +220,68 @@ def test_content_outside_the_holding_element_stays():
     assert text.count("Paragraph") == 27 and "Between A line that is nothing but one link to a source Yes." in text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article class='post category-social tag-search'><h1>Head</h1>{}</article></body>",
+        "<body><form action=x><input type=hidden value=y><nav>menu</nav><div><h1>Head</h1>{}<label>Name</label></div></form></body>",
+        "<body><div class='page sidebar-left'><h1>Head</h1>{}<div class=sidebar><article><p>Teaser of another story.</p></article></div></div></body>",
+        "<main><h1>Head</h1>{}<p>" + "".join(f"<a href={k}>link {k}</a> " for k in range(30)) + "</p></main>",
+        "<main><h1>Head</h1>{}<div class=related><p><a href=1>Another story</a> and <a href=2>yet another</a></p></div></main>",
+        "<article><h1>Head</h1>{}<form><p>Subscribe to our newsletter today.</p><input></form></article>",
+        "<article><h1>Head</h1>{}</article><div id=comments><article class=comment-body>" + "<p>I think so too, and say it again and again.</p>" * 60 + "</article></div>",
+    ],
+)
+def test_names_exclude_no_article(page):
+    plain = " ".join(re.findall(r"<p>(.*?)</p>", PARAGRAPHS))
+    assert html.main_text(page.format(PARAGRAPHS)) == f"Head {plain}"
+
+
+def test_related_work_is_part_of_the_article():
+    text = html.main_text(f"<article><h1>Head</h1>{PARAGRAPHS}<section class='related work'><h2>Related work</h2>{PARAGRAPHS}</section></article>")
+    assert text.count("Paragraph") == 10 and "Related work" in text
+
+
+def test_short_article_beside_a_long_advert():
+    assert html.main_text("<div class=ad>Buy this very nice thing today, and tomorrow too.</div><article><h1>Head</h1><p>Short.</p></article>") == "Head Short."
+
+
+def test_clustering_like_a_plain_one():
+    """Gaussian smoothing of every line by all others in reach, then two means about a threshold."""
+    import math
+
+    rng = random.Random(3)
+    for n in (2, 3, 5, 9, 40):
+        ratio = [rng.choice((3.0, 5.0, 80.0, 120.0)) for _ in range(n)]
+        smooth = []
+        for k in range(n):
+            near = [(math.exp(-0.5 * d * d), ratio[k + d]) for d in range(-4, 5) if 0 <= k + d < n]
+            smooth.append(math.log1p(sum(w * x for w, x in near) / sum(w for w, _ in near)))
+        threshold = (min(smooth) + max(smooth)) / 2
+        for _ in range(20):
+            low, high = [x for x in smooth if x < threshold], [x for x in smooth if x >= threshold]
+            if low and high:
+                threshold = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        low, high = [x for x in smooth if x < threshold], [x for x in smooth if x >= threshold]
+        apart = bool(low and high) and sum(high) / len(high) - sum(low) / len(low) >= 1
+        assert html.content_lines(np.array(ratio)).tolist() == [not apart or x >= threshold for x in smooth]
+
+
+def test_made_pages_give_back_their_articles():
+    """A plain extractor knows what was put in: articles of any length among all that doesn't belong."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    links = lambda n: "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(n))
+    for k in range(60):
+        blocks = [(rng.choice(("p", "p", "p", "h2", "blockquote")), words(rng.randint(3, 90))) for _ in range(rng.randint(3, 12))]
+        body = "".join(f"<{t}>{x}" + rng.choice((f"</{t}>", f"</{t}>\n")) for t, x in blocks)
+        noise = [f"<nav><ul>{links(6)}</ul></nav>", f"<div class='ad banner-{k}'>{words(30)}</div>", f"<aside>{words(20)}</aside>", f"<form><label>{words(2)}</label><p>{words(6)}</p><input></form>", f"<div class=cookie-notice>{words(12)}</div>", f"<script>{words(5)}</script>", f"<section id=comments><p>{words(80)}</p></section>"]
+        rng.shuffle(noise)
+        tag = rng.choice(("article", "main"))
+        page = f"<html><body><header><p>{words(3)}</p></header>{''.join(noise[:3])}<{tag} class='{rng.choice(('', 'post', 'tag-ads entry'))}'><h1>{(head := words(5))}</h1>{body}{noise[3]}</{tag}>{''.join(noise[4:])}<footer>{words(9)}</footer></body></html>"
+        assert html.main_text(page) == " ".join([head, *(x for _, x in blocks)])
+
+
 def test_language_filters_have_all_languages():
     kept = [(language.grams(language.letters("abcdefgh ijkl"), 3), 1.0), (language.grams(language.letters("mnopqrst uvw abcd"), 3), 1.0)]
     filters = language.LanguageFilters.build(["x", "y"], (3,), kept)

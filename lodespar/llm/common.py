@@ -19,8 +19,11 @@ from pyspark.sql.types import StructType
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests in one process), a folder below the temporary one serves."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
+    Where it is unset and all run in one process (tests), a folder below the temporary one serves; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

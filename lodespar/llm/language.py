@@ -54,19 +54,26 @@ class LanguageFilters:
     coverage: np.ndarray
 
     @classmethod
-    def build(cls, languages: list[str], sizes: tuple[int, ...], kept: list[tuple[np.ndarray, float]], hashes: int = 3, room: int = 12) -> LanguageFilters:
-        """``kept``: for each language its n-grams' hashes and what share of its text they cover; ``room``: rows for each n-gram."""
-        tables, fill = [], []
-        for s in range(0, len(languages), 64):
-            own = [x for x, _ in kept[s : s + 64]]
-            rows = 1 << max(10, int(room * max(1, *map(len, own), 1) - 1).bit_length())
-            table = np.zeros(rows, np.uint8 if len(own) <= 8 else np.uint64)
-            for l, found in enumerate(own):
-                for k in range(hashes):
-                    table[cls.rows_of(found, k, rows)] |= table.dtype.type(1 << l)
-            tables.append(table)
-            fill += [np.count_nonzero(table & table.dtype.type(1 << l)) / rows for l in range(len(own))]
-        return cls(languages, sizes, tables, hashes, np.array(fill) ** hashes, np.array([x for _, x in kept]))
+    def of(cls, languages: list[str], sizes: tuple[int, ...], tables: list[np.ndarray], coverage: list[float], hashes: int = 3) -> LanguageFilters:
+        """From filled tables; how full they are gives the false positives."""
+        fill = [np.count_nonzero(tables[l // 64] & tables[l // 64].dtype.type(1 << l % 64)) / len(tables[l // 64]) for l in range(len(languages))]
+        return cls(languages, sizes, tables, hashes, np.array(fill) ** hashes, np.array(coverage))
+
+    @classmethod
+    def build(cls, languages: list[str], sizes: tuple[int, ...], kept: list[tuple[np.ndarray, float]], hashes: int = 3) -> LanguageFilters:
+        """``kept``: for each language its n-grams' hashes and what share of its text they cover."""
+        tables = cls.empty([len(x) for x, _ in kept])
+        for l, (found, _) in enumerate(kept):
+            table = tables[l // 64]
+            for k in range(hashes):
+                table[cls.rows_of(found, k, len(table))] |= table.dtype.type(1 << l % 64)
+        return cls.of(languages, sizes, tables, [x for _, x in kept], hashes)
+
+    @staticmethod
+    def empty(counts: list[int], room: int = 12) -> list[np.ndarray]:
+        """Tables for languages with so many n-grams each; ``room``: rows for each n-gram of the one that has most."""
+        parts = [counts[s : s + 64] for s in range(0, len(counts), 64)]
+        return [np.zeros(1 << max(10, int(room * max(1, *own, 1) - 1).bit_length()), np.uint8 if len(own) <= 8 else np.uint64) for own in parts]
 
     @staticmethod
     def rows_of(found: np.ndarray, k: int, rows: int) -> np.ndarray:
@@ -105,19 +112,20 @@ class LanguageFilters:
         return self.languages[order[0]], min(1.0, best), (best - second) / best if best else 0.0
 
 
-def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[int, ...] = (2, 3, 4), least_share: float = 2e-5, relative: float = 0.2, languages: int = 512) -> LanguageFilters:
+def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[int, ...] = (2, 3, 4), least_share: float = 2e-5, relative: float = 0.2) -> LanguageFilters:
     """Filters learned from ``docs`` (doc_id, text, lang), rows without a lang aside.
 
-    About ``docs_per_language`` documents of each language, chosen by a hash of the row, bound the sample; of
-    the labels, the ``languages`` most frequent are learned. A language contains an n-gram if it makes up at least ``least_share`` of its n-grams of that size (so at most
+    About ``docs_per_language`` documents of each language, chosen by a hash of the row, bound the sample; all
+    labels are learned. A language contains an n-gram if it makes up at least ``least_share`` of its n-grams of that size (so at most
     1 / least_share are kept for each size) and at least ``relative`` of the share it has in any language, which
-    keeps foreign passages out."""
+    keeps foreign passages out. The filters' rows are put together by tasks; the driver gets the rows of the finished
+    tables, some 2 million for 64 languages at most."""
     known = docs.where(F.col("lang").isNotNull()).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
-    n_of = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    n_of = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not n_of:
         return LanguageFilters.build([], sizes, [])
     rate = F.create_map(*(F.lit(x) for row in n_of for x in (row.lang, min(1.0, docs_per_language / row.n))))
-    sample = known.where(unit_hash("doc_id", "text") < F.try_element_at(rate, F.col("lang")))  # labels that aren't learned have no rate
+    sample = known.where(unit_hash("doc_id", "text") < F.try_element_at(rate, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,13 +139,34 @@ def fit_languages(docs: DataFrame, docs_per_language: int = 4000, sizes: tuple[i
 
     counts = cut(sample.transform(in_arrow, count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")))
     total = {(x.lang, x.n): x.t for x in counts.groupBy("lang", "n").agg(F.sum("times").alias("t")).collect()}
+    names = [x.lang for x in n_of]
+    if not total:
+        return LanguageFilters.build(names, sizes, [(np.zeros(0, np.uint64), 0.0)] * len(names))
     share = F.create_map(*(F.lit(x) for (lang, n), t in sorted(total.items()) for x in (f"{lang}\x00{n}", float(t))))
     shares = counts.withColumn("share", F.col("times") / share[F.concat("lang", F.lit("\x00"), F.col("n").cast("string"))])
     most = shares.groupBy("n", "gram").agg(F.max("share").alias("most"))
-    kept = shares.where(F.col("share") >= least_share).join(most, ["n", "gram"]).where(F.col("share") >= relative * F.col("most")).select("lang", "gram", "share").toPandas()
-    names = sorted(x.lang for x in n_of)
-    parts = [kept[kept.lang == x] for x in names]
-    return LanguageFilters.build(names, sizes, [(x.gram.to_numpy(np.int64).view(np.uint64), float(x.share.sum()) / len(sizes)) for x in parts])
+    kept = cut(shares.where(F.col("share") >= least_share).join(most, ["n", "gram"]).where(F.col("share") >= relative * F.col("most")).select("lang", "gram", "share"))
+    has = {x.lang: x for x in kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum("share").alias("share")).collect()}
+    tables = LanguageFilters.empty([has[x].n if x in has else 0 for x in names])
+    place, rows, hashes = {x: k for k, x in enumerate(names)}, [len(x) for x in tables], 3
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+            gram = batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
+            for t in np.unique(at // 64):
+                mine = at // 64 == t
+                bits = np.left_shift(np.uint64(1), (at[mine] % 64).astype(np.uint64)).view(np.int64)
+                for k in range(hashes):
+                    row = LanguageFilters.rows_of(gram[mine], k, rows[t])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(row), pa.array(bits)], names=["t", "row", "mask"])
+
+    filled = kept.select("lang", "gram").transform(in_arrow, fill, "t int, row long, mask long").groupBy("t", "row").agg(F.bit_or("mask").alias("mask"))
+    filled = filled.toArrow()
+    of, row, mask = (filled.column(x).to_numpy() for x in ("t", "row", "mask"))
+    for t, table in enumerate(tables):
+        table[row[of == t]] = mask[of == t].view(np.uint64).astype(table.dtype)
+    return LanguageFilters.of(names, sizes, tables, [has[x].share / len(sizes) if x in has else 0.0 for x in names], hashes)
 
 
 def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:

@@ -26,17 +26,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Candidates beside the base ones.
 _MORE = (
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]{2,63}){1,4}(?!\w)", re.I)),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]{2,}+)++(?!\w)", re.I)),
     ("phone", re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+.-])00[1-9][0-9]{0,2}[ .-](?:\(?[0-9]{2,4}\)?[ .-]){1,3}[0-9]{3,4}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{20,128}(?![0-9A-Za-z_-])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{20,}+")),
 )
 # Gazetteers (top-level domains, calling codes, first digits of card issuers, countries of account numbers) and context words.
 _TLD = frozenset("com org net edu gov int info biz io co uk de fr es it nl ch at be eu us ca au jp cn in br mx pl se no dk fi pt ie ru za nz example invalid test".split())
 _CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 354 358 370 371 372 380 420 421 852 886 971 972".split())
-_ISSUER = frozenset("2345 6".replace(" ", ""))
+_ISSUER = frozenset("23456")
 _IBAN = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
 _CUES = {
     "email": "email e-mail mail contact write reply correo courriel",
@@ -177,15 +177,16 @@ def reliabilities(patterns: list[tuple[str, str, int]], rounds: int = 100) -> di
     for kind in sorted({k for k, _, _ in patterns}):
         votes = np.array([["-0+".index(c) for c in v] for k, v, _ in patterns if k == kind])
         count = np.array([n for k, _, n in patterns if k == kind], float)
-        belief = np.array([[0.15, 0.4, 0.45], [0.45, 0.4, 0.15]])  # of the votes, if it is personal data, and if not
-        table, prior = np.repeat(belief[None], VOTERS, 0), 0.5
+        # of the votes, if it is personal data, and if not: a check of digits or checksums is right more often than the others
+        belief = np.array([[[0.05, 0.4, 0.55], [0.55, 0.4, 0.05]], *[[[0.15, 0.4, 0.45], [0.45, 0.4, 0.15]]] * (VOTERS - 1)])
+        table, prior = belief.copy(), 0.5
         for _ in range(rounds):
             like = np.stack([np.log(table[np.arange(VOTERS), t][np.arange(VOTERS), votes]).sum(1) for t in (0, 1)], 1) + np.log([prior, 1 - prior])
             p = 1 / (1 + np.exp(np.clip(like[:, 1] - like[:, 0], -500, 500)))
             prior = float(np.clip((p @ count + 2) / (count.sum() + 4), 0.01, 0.99))
             for t, w in ((0, p * count), (1, (1 - p) * count)):
                 for j in range(VOTERS):
-                    got = np.bincount(votes[:, j], w, 3) + 20 * belief[t]
+                    got = np.bincount(votes[:, j], w, 3) + 20 * belief[j, t]
                     table[j, t] = got / got.sum()
         out |= {(kind, v): float(x) for (v,), x in zip(((v,) for k, v, _ in patterns if k == kind), p, strict=True)}
     return out
@@ -215,7 +216,7 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
     on them and on further candidates (written-out addresses, numbers without a country code, account
     numbers, secrets). The votes' patterns are counted over all documents, expectation-maximisation makes
     beliefs of them, and a span classifier learns these beliefs from about ``spans_to_fit`` spans chosen by hash.
-    Candidates whose pattern check failed are dropped; others stay at a probability of ``least``. ``added``: how many.
+    Candidates stay at a probability of ``least``, whichever labelers voted for them. ``added``: how many.
 
     ``spans``: kind:start:end of all, comma-joined, by kind (email, ip, card, phone, then by name) and start; code
     points, end exclusive. Null and empty texts have none; repeated rows get equal results; no rows give no rows."""
@@ -242,7 +243,8 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
     patterns = [(x.kind, x.votes, x.n) for x in each.groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()]
     belief = reliabilities(patterns)
     share = min(1.0, spans_to_fit / max(1, sum(n for _, _, n in patterns)))
-    sample = each.where(unit_hash("doc_id", "base_sha256", "s.kind", "s.start") < share).select("s.kind", "s.votes", "s.features").collect()
+    chosen = each.where(unit_hash("doc_id", "base_sha256", "s.kind", "s.start") < share).dropDuplicates(["doc_id", "base_sha256", "s"])
+    sample = chosen.select("s.kind", "s.votes", "s.features").orderBy("kind", "votes", "features").collect()
     model = docs.sparkSession.sparkContext.broadcast(fit_spans([(x.kind, x.votes, x.features) for x in sample], np.array([belief[x.kind, x.votes] for x in sample])))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +252,7 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
             spans, added = [], []
             for base, voted in zip(batch.column("base").to_pylist(), batch.column("voted").to_pylist(), strict=True):
                 own = base.split(",") if base else []
-                kept = [(s["kind"], s["start"], s["end"]) for s in voted[len(own) :] if s["votes"][0] != "-" and model.value.probability(s["kind"], s["votes"], s["features"]) >= least]
+                kept = [(s["kind"], s["start"], s["end"]) for s in voted[len(own) :] if model.value.probability(s["kind"], s["votes"], s["features"]) >= least]
                 split = [x.split(":") for x in own]
                 every = sorted([*((k, int(a), int(b)) for k, a, b in split), *kept], key=lambda x: (KINDS.index(x[0]), x[1]))
                 spans.append(",".join(f"{k}:{a}:{b}" for k, a, b in every))

@@ -93,6 +93,31 @@ def test_personal_data(docs, odd, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def test_spans_like_brute_force(spark, docs):
+    """Votes counted, beliefs and classifier learned, and spans decided again in plain Python, from all candidates."""
+    from collections import Counter
+
+    extra = [(900 + k, f"ssn {k:03}-12-34{k:02} and {'0' if k % 2 else '6'}66-00-0000, key {'ab1-' * (5 + k)} iban GB82 WEST 1234 5698 7654 {30 + k}") for k in range(9)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    found = [(r.doc_id, pii.candidates(r.text or "")) for r in df.collect()]
+    belief = pii.reliabilities([(*k, n) for k, n in sorted(Counter((k, v) for _, (_, voted) in found for k, _, _, v, _ in voted).items())])
+    every = sorted((k, v, f) for _, (_, voted) in found for k, _, _, v, f in voted)
+    model = pii.fit_spans(every, np.array([belief[k, v] for k, v, _ in every]))
+    want = {}
+    for doc, (base, voted) in found:
+        spans = base + [(k, a, b) for k, a, b, v, f in voted[len(base) :] if model.probability(k, v, f) >= 0.5]
+        want[doc] = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1])))
+    assert {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()} == want
+    assert any(v[0] == "-" for _, v, _ in every)
+
+
+def test_long_secrets_and_addresses_are_candidates():
+    key = "".join(f"a{k}B" for k in range(60))
+    _, voted = pii.candidates(f"token {key} and mail {'long' * 30} (at) example (dot) com now")
+    assert [(k, b - a) for k, a, b, _, _ in voted] == [("secret", len(key)), ("email", 120 + len(" (at) example (dot) com"))]
+    pii.candidates("%" * 200_000 + " (at) " + "x-" * 100_000 + "dot")
+
+
 def test_written_out_data_is_added(spark):
     hidden = [(k, f"please write to joe{k} (at) example (dot) com or phone 555-{100 + k}-4567 about it", None, None, None) for k in range(40)]
     plain = [(100 + k, "nothing of that kind stands in here 12-3", None, None, None) for k in range(40)]
@@ -113,6 +138,36 @@ def test_languages(docs, odd, empty):
     assert language.identify_languages(empty).count() == 0
 
 
+def test_filters_put_together_by_tasks_are_the_plain_ones(docs):
+    """All counts and tables again, by dictionaries over the whole texts; and the predictions from them."""
+    from collections import Counter
+
+    found = [r for r in docs.where(~common.held_out()).where("lang is not null").collect()]
+    got, sizes = language.fit_languages(docs.where(~common.held_out())), (2, 3, 4)
+    names = sorted({r.lang for r in found})
+    counts = {(x, n): Counter() for x in names for n in sizes}
+    for r in found:
+        for n in sizes:
+            counts[r.lang, n].update(language.grams(language.letters(r.text or ""), n).tolist())
+    share = {k: {g: t / sum(c.values()) for g, t in c.items()} for k, c in counts.items()}
+    kept = []
+    for x in names:
+        own = {(n, g): s for n in sizes for g, s in share[x, n].items() if s >= 2e-5 and s >= 0.2 * max(share[y, n].get(g, 0) for y in names)}
+        kept.append((np.array([g for _, g in own], np.uint64), sum(own.values()) / len(sizes)))
+    plain = language.LanguageFilters.build(names, sizes, kept)
+    assert got.languages == names and all((a == b).all() for a, b in zip(got.tables, plain.tables, strict=True)) and np.allclose(got.coverage, plain.coverage)
+    for r in language.identify_languages(docs).collect():
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text or "" if r.doc_id < 12 else None
+        assert text is None or (r.lang_pred, round(r.score, 9)) == (plain.predict(text)[0], round(plain.predict(text)[1], 9))
+
+
+def test_any_number_of_labels_is_learned(spark):
+    word = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + k * 7 % 26)}" * 3
+    made = spark.createDataFrame([(k, " ".join([word(k)] * 5), f"l{k:03}") for k in range(600)], "doc_id long, text string, lang string")
+    filters = language.fit_languages(made)
+    assert len(filters.languages) == 600 and len(filters.tables) == 10 and all(filters.predict(word(k))[0] == f"l{k:03}" for k in (0, 63, 64, 300, 599))
+
+
 def test_language_stage_keeps_clean_rows(docs, odd):
     kept = language.keep_known_languages(docs)
     assert kept.columns == docs.columns and kept.count() == 200

@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def append_suffix(table: DataFrame, *keys: str, order: list[str], name: str = "suffix") -> DataFrame:
-    """Each row's number among those of its key, from 0, in ``order``. A key's rows are sorted together, spilling as needed."""
-    return table.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def append_suffix(table: DataFrame, *keys: str, order: list[str], name: str = "suffix", coarse: Column | None = None) -> DataFrame:
+    """Each row's number among those of its key, from 0, in ``order``.
+
+    A key's rows are sorted together, spilling as needed. With ``coarse``, which must not fall as ``order`` goes on (a day, for
+    times), only those equal in it are; what comes before them is counted, by key and ``coarse``, and added."""
+    if coarse is None:
+        return table.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    rows = table.withColumn("coarse_of_row", coarse)
+    at = [*keys, "coarse_of_row"]
+    counts = rows.groupBy(*at).agg(F.count("*").alias("rows_of_range"))
+    before = F.sum("rows_of_range").over(Window.partitionBy(*keys).orderBy("coarse_of_row")) - F.col("rows_of_range")
+    rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*at).orderBy(*order)) - 1)
+    return rows.join(counts.select(*at, before.alias("rows_before")), at).withColumn(name, F.col(name) + F.col("rows_before")).drop("coarse_of_row", "rows_before").select(*table.columns, name)
 
 
 def scan_key(table: DataFrame, key: str, value) -> DataFrame:

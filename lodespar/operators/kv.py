@@ -5,8 +5,9 @@ status: ``ok``, ``key_exists`` or ``key_not_found``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,13 +70,46 @@ def upsert_merge(table: DataFrame, batch: DataFrame, key: str, value: str, combi
     return joined.select(key, F.when(both, merge(F.col(value), F.col("new"))).otherwise(F.coalesce(value, "new")).alias(value))
 
 
-def upsert_fold(table: DataFrame, batch: DataFrame, key: str, seq: str, value: str, merge: Callable[[Column, Column], Column]) -> DataFrame:
-    """Insert or merge with any function: each key's operations are folded in sequence order. One key's operations meet in one task."""
-    ops = batch.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(value).alias("v")))).alias("ops"))
-    joined = table.select(key, value).join(ops, key, "full_outer")
-    start = F.coalesce(F.col(value), F.get("ops", F.lit(0))["v"])
-    rest = F.when(F.col(value).isNull(), F.slice("ops", 2, F.greatest(F.size("ops") - 1, F.lit(0)))).otherwise(F.col("ops"))
-    return joined.select(key, F.when(F.col("ops").isNull(), F.col(value)).otherwise(F.aggregate(rest, start, lambda a, x: merge(a, x["v"]))).alias(value))
+def upsert_fold(table: DataFrame, batch: DataFrame, key: str, seq: str, value: str, merge: Callable[[Column, Column], Column], step: int = 1000) -> DataFrame:
+    """Insert or merge with an associative function that needn't commute: operations are folded in sequence order.
+
+    First each key's operations within ``step`` numbers of sequence, then these ranges' results: no array has more than ``step``
+    operations, or a result for each range. A function that isn't associative goes through ``fold_in_order``."""
+
+    def fold(rows: DataFrame, at: Column, *by: Column | str) -> DataFrame:
+        ops = rows.groupBy(key, *by).agg(F.array_sort(F.collect_list(F.struct(at.alias("s"), F.col(value).alias("v")))).alias("ops"))
+        rest = F.slice("ops", 2, F.greatest(F.size("ops") - 1, F.lit(0)))
+        return ops.withColumn(value, F.aggregate(rest, F.get("ops", F.lit(0))["v"], lambda a, x: merge(a, x["v"]))).drop("ops")
+
+    ranges = fold(batch.select(key, seq, value), F.col(seq), F.floor(F.col(seq) / step).alias("range"))
+    new = fold(ranges, F.col("range")).select(key, F.col(value).alias("new"), F.lit(True).alias("given"))
+    joined = table.select(key, value, F.lit(True).alias("had")).join(new, key, "full_outer")
+    both = F.col("had") & F.col("given")
+    return joined.select(key, F.when(both, merge(F.col(value), F.col("new"))).when(F.col("given"), F.col("new")).otherwise(F.col(value)).alias(value))
+
+
+def fold_in_order(rows: DataFrame, key: str, order: Sequence[str], start: str, value: str, step: Callable[[int, int], int], name: str = "state") -> DataFrame:
+    """For each key, ``step(state, value)`` over its rows in ``order``, from its first row's ``start``; all are longs.
+
+    Rows are sorted within hash partitions of the key, spilling as needed, and stream by: a task holds one state, however many
+    rows a key has. For functions that aren't associative."""
+    sorted_rows = rows.select(key, *order, start, value).repartition(key).sortWithinPartitions(key, *order).select(key, start, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, none = None, 0, True
+        for batch in batches:
+            found = []
+            for k, s, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if none or k != held:
+                    if not none:
+                        found.append((held, state))
+                    held, state, none = k, s, False
+                state = step(state, v)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=[key, name])
+        if not none:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (held, state)], names=[key, name])
+
+    return sorted_rows.select(*(F.col(x).cast("long").alias(x) for x in (key, start, value))).mapInArrow(run, f"`{key}` long, `{name}` long")
 
 
 def scan(table: DataFrame, keys: Sequence[str], where: Column | None = None, low=None, high=None) -> DataFrame:
@@ -97,7 +131,8 @@ def bound(table: DataFrame, probes: DataFrame, key: str, probe: str, strict: boo
 
     Keys are put in nested ranges of ``width``, ``width`` ** 2 ... wide. The own range's keys answer first, else the least key
     of the later ranges within the next wider one, and so on: each step joins on equal ranges and meets at most
-    ``width`` rows of summary a probe. Keys and probes span less than ``width`` ** ``levels``."""
+    ``width`` rows of summary a probe. Where all later keys are beyond the widest range, a row for each widest range, with the
+    next one's least key, answers: keys may be any longs, and rows of that kind are one for each ``width`` ** ``levels`` of keys."""
     at = lambda x, level: F.floor(F.col(x) / width**level)
     asked = probes.select(probe).where(F.col(probe).isNotNull()).distinct()
     after = (F.col(key) > F.col(probe)) if strict else (F.col(key) >= F.col(probe))
@@ -110,7 +145,12 @@ def bound(table: DataFrame, probes: DataFrame, key: str, probe: str, strict: boo
         least = inner.groupBy(F.col("r").alias("child")).agg(F.min("least").alias("least"))
     for x in steps:
         asked = asked.join(x, probe, "left")
-    return asked.select(probe, F.coalesce(*(f"b{k + 1}" for k in range(len(steps)))).alias("bound"))
+    # of the widest ranges, those that have keys and those that have probes: few, so one window may order them
+    top = asked.select(at(probe, levels).alias("child"), F.lit(None).cast(least.schema["least"].dataType).alias("least")).distinct().unionByName(least)
+    top = top.groupBy("child").agg(F.min("least").alias("least"))
+    later = top.select(F.col("child").alias("top"), F.min("least").over(Window.orderBy("child").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    asked = asked.withColumn("top", at(probe, levels)).join(later, "top", "left")
+    return asked.select(probe, F.coalesce(*(f"b{k + 1}" for k in range(len(steps))), "beyond").alias("bound"))
 
 
 def rewrite_same_length(table: DataFrame, batch: DataFrame, key: str, value: str) -> DataFrame:
@@ -121,21 +161,18 @@ def rewrite_same_length(table: DataFrame, batch: DataFrame, key: str, value: str
     return joined.select(*(F.when(fits, F.col("new")).otherwise(F.col(x)).alias(x) if x == value else F.col(x) for x in table.columns))
 
 
-def order_faults(table: DataFrame, *keys: str, by: str) -> DataFrame:
-    """For each value of ``by``: rows, rows whose key is not above the one before in it, and repeated keys."""
-    near = Window.partitionBy(by).orderBy(*keys)
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.lag(k).over(near) == F.col(k))
-    return table.select(by, F.coalesce(same, F.lit(False)).alias("same")).groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if("same").alias("n_repeats"))
+def order_faults(stream: DataFrame, *keys: str, by: str, order: Sequence[str]) -> DataFrame:
+    """For each value of ``by``: rows, rows whose key is below that of the row before in ``order``, and rows whose key equals it.
 
+    What must be none before rows are loaded as a sorted stream; a unique table must have no equal ones either."""
+    near = Window.partitionBy(by).orderBy(*order)
+    now, before = F.struct(*keys), F.lag(F.struct(*keys)).over(near)
+    marked = stream.select(by, (before > now).alias("below"), (before == now).alias("same"))
+    return marked.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if("below").alias("n_below"), F.count_if("same").alias("n_repeats"))
 
-def page_stats(table: DataFrame, key: str, size: Column, fanout: int, capacity: int) -> DataFrame:
-    """Per level of a tree of ``fanout`` over dense keys: pages, rows, and the least, mean and greatest fill of its pages.
 
-    Level 0 holds the rows, ``size`` bytes each, in pages of ``capacity`` bytes; a page above holds ``fanout`` entries."""
-    leaves = table.groupBy(F.floor(F.col(key) / fanout).alias("page")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("used")).withColumn("level", F.lit(0)).withColumn("room", F.lit(capacity))
-    inner = leaves.groupBy(F.floor(F.col("page") / fanout).alias("page")).agg(F.count("*").alias("n"), F.count("*").alias("used")).withColumn("level", F.lit(1)).withColumn("room", F.lit(fanout))
-    both = leaves.unionByName(inner)
-    fill = F.col("used") / F.col("room")
-    return both.groupBy("level").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_entries"), F.min(fill).alias("min_fill"), F.max(fill).alias("max_fill"), (F.sum("used") / (F.count("*") * F.max("room"))).alias("mean_fill"))
+def range_stats(table: DataFrame, key: str, size: Column, width: int) -> DataFrame:
+    """How evenly rows and their ``size`` spread over key ranges of ``width``: ranges, rows, and the least, mean and greatest rows and bytes of one."""
+    by = table.groupBy(F.floor(F.col(key) / width).alias("range")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("used"))
+    each = [f(x).alias(f"{y}_{z}") for x, z in (("n", "rows"), ("used", "bytes")) for f, y in ((F.min, "min"), (F.max, "max"))]
+    return by.agg(F.count("*").alias("n_ranges"), F.sum("n").alias("n_rows"), *each, (F.sum("used") / F.count("*")).alias("mean_bytes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,29 @@ def rate(hit: Column) -> Column:
     return F.count_if(hit) / F.count("*")
 
 
-def latency_quantiles(rows: DataFrame, value: str, by: str | None, points: dict[str, float], accuracy: int | None = None) -> DataFrame:
-    """Mean, deviation, least, greatest and exact discrete quantiles; with ``accuracy``, approximate ones that need bounded memory."""
+def latency_quantiles(rows: DataFrame, value: str, by: str, points: dict[str, float], width: float, accuracy: int | None = None) -> DataFrame:
+    """For each ``by``: n, least, greatest, mean, deviation (of the population) and the discrete quantiles ``points``.
+
+    Quantiles are exact, in two passes: values are counted in ranges of ``width``, which says in which range each quantile is and
+    at which place; only the rows of those ranges are sorted, each range by itself. With ``accuracy`` they're sketches instead. Mean and
+    deviation are of whole thousandths, so that the rows' order doesn't matter."""
+    ns = F.round(F.col(value) * 1000).cast("long")
+    total, squares = F.sum(ns).cast("double"), F.sum(ns.cast("decimal(19,0)") * ns.cast("decimal(19,0)")).cast("double")
+    n = F.count("*")
+    stats = [n.alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), (total / n / 1000).alias("mean"), (F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))) / 1000).alias("deviation")]
     if accuracy:
-        quantiles = [F.percentile_approx(value, p, accuracy).alias(k) for k, p in points.items()]
-    else:
-        quantiles = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(k) for k, p in points.items()]
-    grouped = rows.groupBy(by) if by else rows.groupBy()
-    return grouped.agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), *quantiles)
+        return rows.groupBy(by).agg(*stats, *(F.percentile_approx(value, p, accuracy).alias(k) for k, p in points.items()))
+    overall = rows.groupBy(by).agg(*stats)
+    ranged = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("x"), F.floor(F.col(value) / width).alias("range"))
+    counts = ranged.groupBy(by, "range").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(by)  # one row a range
+    counts = counts.select(by, "range", F.sum("n").over(group.orderBy("range")).alias("upto"), F.sum("n").over(group).alias("of"), "n")
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("point"), F.greatest(F.ceil(F.col("of") * F.lit(Decimal(str(p)))), F.lit(1)).cast("long").alias("place")) for k, p in points.items())))
+    where = counts.select(by, "range", "upto", "n", asked.alias("q")).where("q.place <= upto and q.place > upto - n").select(by, "range", "q.point", (F.col("q.place") - F.col("upto") + F.col("n")).alias("place"))
+    some = ranged.join(where.select(by, "range").distinct(), [by, "range"])
+    placed = some.withColumn("place", F.row_number().over(Window.partitionBy(by, "range").orderBy("x")).cast("long"))
+    found = placed.join(where, [by, "range", "place"]).groupBy(by).agg(*(F.max(F.when(F.col("point") == k, F.col("x"))).alias(k) for k in points))
+    return overall.join(found, by, "left")
 
 
 def histogram(rows: DataFrame, value: Column, step: int, cap: int) -> DataFrame:

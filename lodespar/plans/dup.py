@@ -67,8 +67,8 @@ def hash_scan_range_filter(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT CAST((l_partkey * 2654435761 + 12345) % 64 AS INTEGER) AS bucket, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)
-SELECT CAST(ceil(n / 8.0) AS BIGINT) AS chain_pages, count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_keys FROM b GROUP BY 1""")
-def hash_chain_stats(spark, sf_dir):
-    """Buckets by the length of their chains, at eight keys a page."""
+SELECT CAST(floor(n / 8) * 8 AS BIGINT) AS keys_from, count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_keys FROM b GROUP BY 1""")
+def hash_bucket_sizes(spark, sf_dir):
+    """How evenly buckets are filled: how many of them have so many keys, in steps of eight."""
     by = dup.bucket_stats(table(spark, sf_dir, "lineitem"), "l_partkey", 64)
-    return by.groupBy(F.ceil(F.col("n_keys") / 8).alias("chain_pages")).agg(F.count("*").alias("n_buckets"), F.sum("n_keys").alias("n_keys"))
+    return by.groupBy((F.floor(F.col("n_keys") / 8) * 8).alias("keys_from")).agg(F.count("*").alias("n_buckets"), F.sum("n_keys").alias("n_keys"))

@@ -1,7 +1,7 @@
-"""Queries of secondary tables and of stored hints about where a row is.
+"""Queries of secondary tables: lookups through them, and what becomes of one that isn't kept up to date.
 
-Spark has no pages or slots to point at, so a row's address is its place in pages of 64 rows by key, and a hint is
-that address as it was stored; some go stale by a rule."""
+The primary is ``orders`` after a batch of changes: of ten orders by key, those ending in 3 have moved to the next customer, and
+those ending in 7 are deleted; the secondary (customer, order) was stored before it, when orders ending in 5 weren't there yet."""
 
 from __future__ import annotations
 
@@ -11,20 +11,24 @@ from lodespar.operators import secondary
 from lodespar.plans.registry import query
 from lodespar.sources.catalog import table
 
-PARTS = ["page", "frame", "slot"]
-_HINTS = """h AS (SELECT o_orderkey, o_custkey, o_orderkey // 64 AS real_page, o_orderkey // 64 % 97 AS real_frame, o_orderkey % 64 AS real_slot,
- o_orderkey // 64 + CASE WHEN d < 10 THEN 1 ELSE 0 END AS hint_page, o_orderkey // 64 % 97 + CASE WHEN d >= 10 AND d < 20 THEN 1 ELSE 0 END AS hint_frame,
- o_orderkey % 64 + CASE WHEN d >= 20 AND d < 50 THEN 1 ELSE 0 END AS hint_slot FROM (SELECT *, (o_orderkey * 7919) % 100 AS d FROM orders))"""
+_STATES = """p AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 7),
+s AS (SELECT o_orderkey, o_custkey AS stored FROM orders WHERE o_orderkey % 10 <> 5),
+v AS (SELECT coalesce(p.o_orderkey, s.o_orderkey) AS o_orderkey, p.o_custkey, s.stored, p.o_orderstatus,
+ CASE WHEN p.o_orderkey IS NULL THEN 'dangling' WHEN s.o_orderkey IS NULL THEN 'missing' WHEN p.o_custkey = s.stored THEN 'ok' ELSE 'stale' END AS state
+ FROM p FULL OUTER JOIN s ON p.o_orderkey = s.o_orderkey)"""
 
 
-def _hints(spark, sf_dir):
-    """Of a hundred hints, ten have a wrong page, ten a wrong frame and thirty a wrong slot."""
-    k = F.col("o_orderkey")
-    d = k * 7919 % 100
-    off = lambda low, high: F.when((d >= low) & (d < high), 1).otherwise(0)
-    real = {"page": F.expr("o_orderkey div 64"), "frame": F.expr("o_orderkey div 64") % 97, "slot": k % 64}
-    wrong = {"page": off(0, 10), "frame": off(10, 20), "slot": off(20, 50)}
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *(real[x].alias(f"real_{x}") for x in PARTS), *((real[x] + wrong[x]).alias(f"hint_{x}") for x in PARTS))
+def _now(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").where("o_orderkey % 10 <> 7")
+    return rows.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 3, 1).otherwise(0))
+
+
+def _stored(spark, sf_dir):
+    return secondary.derive(table(spark, sf_dir, "orders").where("o_orderkey % 10 <> 5"), ["o_custkey"], ["o_orderkey"])
+
+
+def _checked(spark, sf_dir):
+    return secondary.verify(_stored(spark, sf_dir), _now(spark, sf_dir), "o_custkey", "o_orderkey")
 
 
 @query("SELECT s.o_custkey, p.o_orderkey, p.o_totalprice FROM (SELECT o_custkey, o_orderkey FROM orders) s JOIN orders p ON p.o_orderkey = s.o_orderkey")
@@ -35,75 +39,84 @@ def sec_index_join(spark, sf_dir):
     return secondary.lookup(second, orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query(f"WITH {_HINTS} SELECT bit_xor(o_orderkey) AS checksum, count(*) AS n_rows, count(*) FILTER (real_page <> hint_page OR real_frame <> hint_frame OR real_slot <> hint_slot) AS n_repaired FROM h")
+@query(f"""WITH {_STATES} SELECT bit_xor(o_orderkey) AS checksum, count(*) AS n_rows, count(*) FILTER (state <> 'ok') AS n_repaired FROM v WHERE state <> 'dangling'""")
 def idx_scan_checksum(spark, sf_dir):
-    """A scan through the secondary table: a checksum of what it reaches, and how many hints it had to repair."""
-    fixed = secondary.repair(_hints(spark, sf_dir), PARTS, "always")
-    found = secondary.lookup(fixed.select("o_orderkey", "repaired"), table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
-    return secondary.scan_checksum(found, "o_orderkey", F.col("repaired"))
+    """A scan of the primary through the repaired secondary: a checksum of what it reaches, and how many entries had to be repaired."""
+    fixed = secondary.repair(_checked(spark, sf_dir), "o_custkey", "o_orderkey")
+    found = secondary.lookup(fixed, _now(spark, sf_dir).select("o_orderkey"), ["o_orderkey"])
+    return found.agg(F.bit_xor("o_orderkey").alias("checksum"), F.count("*").alias("n_rows"), F.count_if("repaired").alias("n_repaired"))
 
 
-@query(f"""WITH {_HINTS} SELECT count(*) AS n_rows, count(*) FILTER (real_page = hint_page) / CAST(count(*) AS DOUBLE) AS page_share, count(*) FILTER (real_frame = hint_frame) / CAST(count(*) AS DOUBLE) AS frame_share,
- count(*) FILTER (real_slot = hint_slot) / CAST(count(*) AS DOUBLE) AS slot_share, count(*) FILTER (real_page = hint_page AND real_frame = hint_frame AND real_slot = hint_slot) / CAST(count(*) AS DOUBLE) AS all_share FROM h""")
+@query(f"""WITH {_STATES} SELECT o_orderstatus, count(*) AS n_rows, count(*) FILTER (state = 'ok') / CAST(count(*) AS DOUBLE) AS ok_share FROM v WHERE state <> 'dangling' GROUP BY 1""")
 def idx_hint_correctness(spark, sf_dir):
-    return secondary.hint_correctness(_hints(spark, sf_dir), PARTS)
+    """Of the primary's rows, by status, the share that the stored secondary leads to under their present key."""
+    status = _now(spark, sf_dir).select("o_orderkey", "o_orderstatus")
+    rows = _checked(spark, sf_dir).join(status, "o_orderkey")
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n_rows"), (F.count_if(F.col("state") == "ok") / F.count("*")).alias("ok_share"))
 
 
-@query(f"WITH {_HINTS} SELECT hint_page <> real_page AS page, hint_frame <> real_frame AS frame, hint_slot <> real_slot AS slot, count(*) AS n FROM h GROUP BY 1, 2, 3")
+@query(f"WITH {_STATES} SELECT state, count(*) AS n FROM v GROUP BY 1")
 def idx_stale_inject(spark, sf_dir):
-    """How many hints each kind of staleness has hit."""
-    wrong = [(F.col(f"hint_{x}") != F.col(f"real_{x}")).alias(x) for x in PARTS]
-    return _hints(spark, sf_dir).groupBy(*wrong).agg(F.count("*").alias("n"))
+    """How many entries the batch has left in each state."""
+    return _checked(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_HINTS}, p AS (SELECT *, policy, CASE policy WHEN 'always' THEN hint_page <> real_page OR hint_frame <> real_frame OR hint_slot <> real_slot WHEN 'ignore_slot' THEN hint_page <> real_page OR hint_frame <> real_frame ELSE FALSE END AS fix
- FROM h, (VALUES ('always'), ('ignore_slot'), ('never')) v(policy))
-SELECT policy, count(*) FILTER (fix) AS n_repaired, count(*) FILTER (NOT fix AND (hint_page <> real_page OR hint_frame <> real_frame OR hint_slot <> real_slot)) AS n_stale FROM p GROUP BY policy""")
+@query(f"""WITH {_STATES}, a AS (SELECT *, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS asked FROM v), f AS (SELECT policy, state,
+ state <> 'ok' AND (policy = 'always' OR (policy = 'on_lookup' AND asked)) AS fix FROM a, (VALUES ('always'), ('on_lookup'), ('never')) t(policy))
+SELECT policy, count(*) FILTER (fix) AS n_repaired, count(*) FILTER (state <> 'ok' AND NOT fix) AS n_wrong FROM f GROUP BY policy""")
 def idx_repair_policy(spark, sf_dir):
-    """Hints repaired, and still stale, after one lookup of each under each policy: all counted in one scan."""
-    policies = ("always", "ignore_slot", "never")
-    fix = {p: secondary.renewed(PARTS, p) for p in policies}
-    counted = _hints(spark, sf_dir).agg(*(F.count_if(fix[p]).alias(f"r_{p}") for p in policies), *(F.count_if(secondary.stale(PARTS) & ~fix[p]).alias(f"s_{p}") for p in policies))
-    return counted.select(F.inline(F.array(*(F.struct(F.lit(p).alias("policy"), F.col(f"r_{p}").alias("n_repaired"), F.col(f"s_{p}").alias("n_stale")) for p in policies))))
+    """Entries repaired, and still wrong, if all are repaired, those that a batch of lookups asks for, or none: in one pass."""
+    asked = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("asked", F.lit(True))
+    rows = _checked(spark, sf_dir).where("state <> 'ok'").join(asked, "o_orderkey", "left").agg(F.count("*").alias("n"), F.count("asked").alias("seen"))
+    each = F.array(*(F.struct(F.lit(p).alias("policy"), fixed.alias("n_repaired"), (F.col("n") - fixed).alias("n_wrong")) for p, fixed in (("always", F.col("n")), ("on_lookup", F.col("seen")), ("never", F.lit(0).cast("long")))))
+    return rows.select(F.inline(each))
 
 
 _SNAP = {
-    "insert": ("SELECT o_orderkey, o_orderkey // 64 AS place FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_orderkey, o_orderkey // 64 AS place FROM orders"),
-    "update": ("SELECT o_orderkey, o_orderkey // 64 AS place FROM orders", "SELECT o_orderkey, o_orderkey // 64 + CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS place FROM orders"),
-    "delete": ("SELECT o_orderkey, o_orderkey // 64 AS place FROM orders", "SELECT o_orderkey, o_orderkey // 64 AS place FROM orders WHERE o_orderkey % 10 = 7"),
+    "insert": ("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0", "SELECT o_orderkey, o_custkey FROM orders"),
+    "update": ("SELECT o_orderkey, o_custkey FROM orders", "SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS o_custkey FROM orders"),
+    "delete": ("SELECT o_orderkey, o_custkey FROM orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 10 = 7"),
 }
-_DIFF = """SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.place = b.place THEN 'kept' ELSE 'moved' END AS change, count(*) AS n_rows
+_DIFF = """SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_custkey = b.o_custkey THEN 'kept' ELSE 'changed' END AS change, count(*) AS n_rows
 FROM ({0}) a FULL OUTER JOIN ({1}) b ON a.o_orderkey = b.o_orderkey GROUP BY 1"""
 
 
 def _diff(spark, sf_dir, kind):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 64").alias("place"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     before = orders.where("o_orderkey % 2 = 0") if kind == "insert" else orders
-    after = {"insert": orders, "update": orders.withColumn("place", F.col("place") + F.when(F.col("o_orderkey") % 10 == 3, 1).otherwise(0)), "delete": orders.where("o_orderkey % 10 = 7")}[kind]
-    return secondary.snapshot_diff(before, after, "o_orderkey", "place")
+    after = {"insert": orders, "update": orders.withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % 10 == 3, 1).otherwise(0)), "delete": orders.where("o_orderkey % 10 = 7")}[kind]
+    return secondary.snapshot_diff(before, after, "o_orderkey", "o_custkey")
 
 
 @query(_DIFF.format(*_SNAP["insert"]))
 def idx_snapshot_insert(spark, sf_dir):
-    """What becomes of addresses when as many rows again are inserted."""
+    """Two snapshots of (order, customer), before and after as many rows again are inserted."""
     return _diff(spark, sf_dir, "insert")
 
 
 @query(_DIFF.format(*_SNAP["update"]))
 def idx_snapshot_update(spark, sf_dir):
-    """What becomes of addresses when a tenth of the rows move."""
+    """The same when a tenth of the orders change customers."""
     return _diff(spark, sf_dir, "update")
 
 
 @query(_DIFF.format(*_SNAP["delete"]))
 def idx_snapshot_delete(spark, sf_dir):
-    """What becomes of addresses when nine tenths of the rows are deleted."""
+    """The same when nine tenths of the rows are deleted."""
     return _diff(spark, sf_dir, "delete")
 
 
-@query("""SELECT layout, CAST(sum(strlen(o_orderpriority) + 8 + extra) AS BIGINT) AS bytes, count(*) AS n FROM orders, (VALUES ('none', 0), ('page', 4), ('page_frame', 8), ('page_frame_slot', 12)) v(layout, extra) GROUP BY layout""")
+@query("""SELECT layout, CAST(sum(16 + CASE layout WHEN 'keys' THEN 0 WHEN 'keys_price' THEN 8 ELSE 8 + strlen(o_orderpriority) END) AS BIGINT) AS bytes, count(*) AS n
+FROM orders, (VALUES ('keys'), ('keys_price'), ('covering')) v(layout) GROUP BY layout""")
 def idx_size(spark, sf_dir):
-    """Bytes of the secondary table with each layout of hints: a key, an eight-byte primary key, and four bytes a part."""
-    layouts = F.explode(F.array(*(F.struct(F.lit(n).alias("layout"), F.lit(x).alias("extra")) for n, x in (("none", 0), ("page", 4), ("page_frame", 8), ("page_frame_slot", 12)))))
-    rows = table(spark, sf_dir, "orders").agg(F.sum(F.octet_length("o_orderpriority") + 8).alias("base"), F.count("*").alias("n")).select("*", layouts.alias("l"))
-    return rows.select(F.col("l.layout").alias("layout"), (F.col("base") + F.col("n") * F.col("l.extra")).alias("bytes"), "n")
+    """Bytes, before encoding, of a secondary table of two eight-byte keys alone, with the price, and with all that a lookup returns."""
+    rows = table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.sum(F.octet_length("o_orderpriority")).alias("text"))
+    each = (("keys", F.col("n") * 16), ("keys_price", F.col("n") * 24), ("covering", F.col("n") * 24 + F.col("text")))
+    return rows.select(F.inline(F.array(*(F.struct(F.lit(x).alias("layout"), size.alias("bytes"), F.col("n").alias("n")) for x, size in each))))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM (SELECT o_custkey, o_orderkey FROM orders) s JOIN orders p USING (o_orderkey, o_custkey) GROUP BY 1")
+def sec_index_count(spark, sf_dir):
+    """Rows that a scan of the secondary reaches, for each of its keys."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return secondary.lookup(secondary.derive(orders, ["o_custkey"], ["o_orderkey"]), orders.select("o_orderkey"), ["o_orderkey"]).groupBy("o_custkey").agg(F.count("*").alias("n"))

@@ -79,12 +79,12 @@ def kv_upsert_merge(spark, sf_dir):
     return kv.upsert_merge(base, ones, "k", "v", F.sum, lambda a, b: a + b)
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, string_agg(o_orderpriority[1:1], '' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1)
-SELECT c_custkey AS k, c_mktsegment[1:1] || coalesce(v, '') AS v FROM customer LEFT JOIN o ON k = c_custkey""")
+@query("""WITH o AS (SELECT o_custkey AS k, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS v FROM orders GROUP BY 1)
+SELECT c_custkey AS k, c_mktsegment || coalesce(v, '') AS v FROM customer LEFT JOIN o ON k = c_custkey""")
 def kv_upsert_fold(spark, sf_dir):
-    """A merge that isn't commutative: letters are appended in the order of the operations."""
-    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.left("c_mktsegment", F.lit(1)).alias("v"))
-    ops = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("k"), F.left("o_orderpriority", F.lit(1)).alias("v"))
+    """A merge that isn't commutative: texts are appended in the order of the operations."""
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    ops = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"))
     return kv.upsert_fold(base, ops, "k", "seq", "v", F.concat)
 
 
@@ -139,19 +139,29 @@ def kv_binary_range(spark, sf_dir):
     return rows.where(half_open(F.col("b"), F.unhex(F.lit("0000000000000100")), F.unhex(F.lit("0000000000000200")))).select("o_orderkey", F.hex("b").alias("packed"))
 
 
-@query("""WITH c AS (SELECT c_nationkey, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = c_custkey AS same FROM customer)
-SELECT c_nationkey, count(*) AS n_rows, count(*) FILTER (same) AS n_repeats FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT o_custkey, o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_totalprice, o_orderkey) AS p FROM orders)
+SELECT o_custkey, count(*) AS n_rows, count(*) FILTER (p > k) AS n_below, count(*) FILTER (p = k) AS n_repeats FROM c GROUP BY 1""")
 def kv_bulk_load_check(spark, sf_dir):
-    return kv.order_faults(table(spark, sf_dir, "customer"), "c_custkey", by="c_nationkey")
-
-
-@query("""WITH leaf AS (SELECT floor(o_orderkey / 64) AS page, count(*) AS n, CAST(sum(strlen(o_orderpriority) + 8) AS BIGINT) AS used, 2048 AS room FROM orders GROUP BY 1),
-up AS (SELECT floor(page / 64) AS page, count(*) AS n, count(*) AS used, 64 AS room FROM leaf GROUP BY 1),
-b AS (SELECT 0 AS level, * FROM leaf UNION ALL SELECT 1, * FROM up)
-SELECT level, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_entries, min(used / CAST(room AS DOUBLE)) AS min_fill, max(used / CAST(room AS DOUBLE)) AS max_fill,
- CAST(sum(used) AS DOUBLE) / (count(*) * max(room)) AS mean_fill FROM b GROUP BY level""")
-def kv_page_stats(spark, sf_dir):
-    return kv.page_stats(table(spark, sf_dir, "orders"), "o_orderkey", F.octet_length("o_orderpriority") + 8, 64, 2048)
+    """Whether each customer's orders, as they came in, could be loaded as a stream sorted by their number."""
+    return kv.order_faults(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey", by="o_custkey", order=["o_orderdate", "o_totalprice", "o_orderkey"])
+
+
+@query("""SELECT (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS n_repeats, (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS n_dangling,
+(SELECT count(*) FROM orders WHERE o_orderkey IS NULL) AS n_null""")
+def kv_consistency(spark, sf_dir):
+    """Keys of orders that repeat, customers that orders name and that don't exist, and keys that are null."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    repeats = orders.groupBy("o_orderkey").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - F.when(F.col("o_orderkey").isNull(), 0).otherwise(1)), F.lit(0)).alias("n_repeats"), F.coalesce(F.sum(F.when(F.col("o_orderkey").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+    there = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    dangling = orders.join(there, "o_custkey", "left_anti").agg(F.count("*").alias("n_dangling"))
+    return repeats.select("n_repeats", "n_null", F.lit(1).alias("one")).join(dangling.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("""WITH r AS (SELECT floor(o_orderkey / 1000) AS g, count(*) AS n, CAST(sum(strlen(o_orderpriority) + 8) AS BIGINT) AS used FROM orders GROUP BY 1)
+SELECT count(*) AS n_ranges, CAST(sum(n) AS BIGINT) AS n_rows, min(n) AS min_rows, max(n) AS max_rows, min(used) AS min_bytes, max(used) AS max_bytes, CAST(sum(used) AS DOUBLE) / count(*) AS mean_bytes FROM r""")
+def kv_range_stats(spark, sf_dir):
+    """How evenly ranges of a thousand keys are filled: what range-partitioned files of them would hold."""
+    return kv.range_stats(table(spark, sf_dir, "orders"), "o_orderkey", F.octet_length("o_orderpriority") + 8, 1000)
 
 
 @query("""SELECT c_custkey AS k, CASE WHEN strlen(o.o_orderpriority) = strlen(c_mktsegment) THEN o.o_orderpriority ELSE c_mktsegment END AS v

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("kv", "dup", "txn", "tpcc", "ycsb", "index", "telemetry", "stream")
+MODULES = ("kv", "dup", "txn", "tpcc", "orderentry", "ycsb", "index", "telemetry", "stream")
 
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}

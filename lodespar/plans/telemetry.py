@@ -8,7 +8,7 @@ from lodespar.operators import telemetry
 from lodespar.plans.registry import query
 from lodespar.sources.catalog import table
 
-POINTS = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+POINTS = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
 
 
 def _events(spark, sf_dir):
@@ -42,15 +42,21 @@ def ev_sample(spark, sf_dir):
     return _events(spark, sf_dir).where("event_id * 7919 % 100 = 0").select("event_id", "event_type", "ts")
 
 
-@query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS greatest, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p999 FROM events GROUP BY 1")
+_NS = "CAST(round(value * 1000) AS BIGINT)"
+_POINTS = ", ".join(f"quantile_disc(value, {p}) AS {k}" for k, p in POINTS.items())
+
+
+@query(f"""WITH s AS (SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS greatest, CAST(sum({_NS}) AS DOUBLE) AS t, CAST(sum(CAST({_NS} AS HUGEINT) * {_NS}) AS DOUBLE) AS q, {_POINTS} FROM events GROUP BY 1)
+SELECT event_type, n, least, greatest, t / n / 1000 AS mean, sqrt(greatest(q / n - (t / n) * (t / n), 0)) / 1000 AS deviation, {", ".join(POINTS)} FROM s""")
 def lat_percentiles(spark, sf_dir):
-    return telemetry.latency_quantiles(_events(spark, sf_dir), "value", "event_type", POINTS)
+    """Latencies of each kind: mean, deviation and exact quantiles from the first to the 99.99th hundredth."""
+    return telemetry.latency_quantiles(_events(spark, sf_dir), "value", "event_type", POINTS, width=1.0)
 
 
 @query()
 def lat_percentiles_approx(spark, sf_dir):
-    """The same by a sketch of bounded size: what to use where a group's values don't fit a task."""
-    return telemetry.latency_quantiles(_events(spark, sf_dir), "value", "event_type", POINTS, accuracy=10_000)
+    """The same by a sketch of bounded size, in one pass."""
+    return telemetry.latency_quantiles(_events(spark, sf_dir), "value", "event_type", POINTS, width=1.0, accuracy=10_000)
 
 
 @query("SELECT least(CAST(floor(value / 25) * 25 AS BIGINT), 150) AS bucket, count(*) AS n FROM events GROUP BY 1")

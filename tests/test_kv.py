@@ -72,7 +72,29 @@ def test_merge_adds_up(spark):
     none = spark.createDataFrame([], "k long, v long")
     assert got(kv.upsert_merge(none, batch, "k", "v", F.sum, lambda a, b: a + b), "v") == [45]
     assert got(kv.upsert_fold(none, batch, "k", "seq", "v", lambda a, b: a + b), "v") == [45]
-    assert got(kv.upsert_fold(none, batch, "k", "seq", "v", lambda a, b: a * 10 + b), "v") == [6381572490]
+    assert got(kv.fold_in_order(batch.withColumn("start", F.lit(0)), "k", ["seq"], "start", "v", lambda a, b: a * 10 + b), "state") == [6381572490]
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_fold_keeps_the_order(spark, step):
+    base = spark.createDataFrame([(0, "<"), (2, "x"), (3, None)], "k long, v string")
+    batch = ops(spark, *((n, n % 2, str(n)) for n in range(20)), (5, 3, "y"))
+    want = {0: "<" + "".join(map(str, range(0, 20, 2))), 1: "".join(map(str, range(1, 20, 2))), 2: "x", 3: None}
+    assert dict(got(kv.upsert_fold(base, batch, "k", "seq", "v", F.concat, step=step), "k", "v")) == want
+
+
+def test_fold_in_order_streams_every_key(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(5) if rng.random() < 0.5 else 7, n, 20, rng.randint(1, 50)) for n in range(30_000)]
+    step = lambda s, q: s - q if s > q + 10 else s - q + 91
+    want = {}
+    for k, _, s, q in rows:
+        want[k] = step(want.get(k, s), q)
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "k long, n long, s int, q long")
+    assert dict(got(kv.fold_in_order(shuffled, "k", ["n"], "s", "q", step), "k", "state")) == want
+    assert kv.fold_in_order(shuffled.limit(0), "k", ["n"], "s", "q", step).count() == 0
 
 
 def test_cursor_goes_on(ten):
@@ -91,6 +113,73 @@ def test_bounds(spark):
     assert high == {2: 3, 5: 8, 6: 8, 13: 5000, 14: 5000, 6000: 2_000_000, 3_000_000: None}
 
 
+def test_bounds_beyond_the_widest_range(spark):
+    far = 5 * 10**12
+    table = spark.createDataFrame([(x,) for x in (-4 * 10**12, 7, far, far + 1, 9 * 10**15)], "k long")
+    probes = spark.createDataFrame([(x,) for x in (-(10**14), 100, far, 10**14, 10**16, 3 * 10**12)], "x long")
+    assert dict(got(kv.bound(table, probes, "k", "x", strict=False), "x", "bound")) == {-(10**14): -4 * 10**12, 100: far, far: far, 10**14: 9 * 10**15, 10**16: None, 3 * 10**12: far}
+    assert dict(got(kv.bound(table, probes, "k", "x", strict=True), "x", "bound"))[far] == far + 1
+    assert dict(got(kv.bound(table.limit(0), probes, "k", "x", strict=True), "x", "bound"))[100] is None
+
+
+def test_random_bounds_like_a_sorted_list(spark):
+    import bisect
+    import random
+
+    rng = random.Random(5)
+    keys_ = sorted({rng.randrange(-(10 ** rng.randint(1, 17)), 10 ** rng.randint(1, 17)) for _ in range(300)})
+    asked = {rng.choice(keys_) + rng.choice((-1, 0, 1)) for _ in range(100)} | {rng.randrange(-(10**18), 10**18) for _ in range(50)}
+    table, probes = spark.createDataFrame([(x,) for x in keys_], "k long"), spark.createDataFrame([(x,) for x in asked], "x long")
+    for strict, find in ((False, bisect.bisect_left), (True, bisect.bisect_right)):
+        want = {x: keys_[at] if (at := find(keys_, x)) < len(keys_) else None for x in asked}
+        assert dict(got(kv.bound(table, probes, "k", "x", strict=strict), "x", "bound")) == want
+
+
+def test_disorder_and_repeats_are_found(spark):
+    stream = spark.createDataFrame([("a", 0, 3), ("a", 1, 1), ("a", 2, 2), ("b", 0, 1), ("b", 1, 1), ("c", 0, 5), ("c", 1, 6)], "g string, n long, k long")
+    found = kv.order_faults(stream, "k", by="g", order=["n"])
+    assert sorted(got(found, "g", "n_rows", "n_below", "n_repeats")) == [("a", 3, 1, 0), ("b", 2, 0, 1), ("c", 2, 0, 0)]
+
+
+def test_numbers_by_ranges_are_the_plain_ones(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 101).alias("x"), "id")
+    plain = dup.append_suffix(rows, "g", order=["x", "id"])
+    ranged = dup.append_suffix(rows, "g", order=["x", "id"], coarse=F.floor(F.col("x") / 10))
+    assert plain.columns == ranged.columns and sorted(got(plain, "id", "suffix")) == sorted(got(ranged, "id", "suffix"))
+
+
+@pytest.mark.parametrize("width", [0.5, 10.0, 1e6])
+def test_quantiles_by_ranges_are_exact(spark, width):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), round(rng.expovariate(0.05), rng.choice((0, 2)))) for _ in range(700)] + [("c", 3.5), ("d", None)]
+    points = {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p999": 0.999}
+    for r in telemetry.latency_quantiles(spark.createDataFrame(rows, "g string, x double"), "x", "g", points, width).collect():
+        own = sorted(x for g, x in rows if g == r.g and x is not None)
+        assert [r[k] for k in points] == [own[max(1, math.ceil(round(p * len(own), 9))) - 1] if own else None for p in points.values()]
+        if len(own) > 1:
+            mean = sum(own) / len(own)
+            assert abs(r.mean - mean) < 1e-3 and abs(r.deviation - math.sqrt(sum((x - mean) ** 2 for x in own) / len(own))) < 1e-3
+
+
+def test_secondary_is_checked_and_repaired(spark):
+    primary = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, None)], "id long, k string")
+    second = spark.createDataFrame([("a", 1), ("x", 2), ("d", 4), (None, 5)], "k string, id long")
+    checked = secondary.verify(second, primary, "k", "id")
+    assert dict(got(checked, "id", "state")) == {1: "ok", 2: "stale", 3: "missing", 4: "dangling", 5: "ok"}
+    assert sorted(got(secondary.repair(checked, "k", "id"), "id", "k", "repaired")) == [(1, "a", False), (2, "b", True), (3, "c", True), (5, None, False)]
+    some = secondary.repair(checked, "k", "id", only=spark.createDataFrame([(2,), (9,)], "id long"))
+    assert sorted(got(some, "id", "k", "repaired")) == [(1, "a", False), (2, "b", True), (4, "d", False), (5, None, False)]
+
+
+def test_lookup_by_name(spark):
+    people = spark.createDataFrame([(1, "ann", 10), (1, "bob", 11), (1, "cid", 12), (1, "dan", 13), (2, "eve", 14)], "d long, first string, id long").withColumn("last", F.lit("ese"))
+    asked = spark.createDataFrame([(1, "ese", "q1"), (2, "ese", "q2"), (3, "ese", "q3"), (1, "pri", "q4")], "d long, last string, q string")
+    assert sorted(got(secondary.lookup_middle(asked, people, ["d", "last"], ["first"]), "q", "id")) == [("q1", 11), ("q2", 14), ("q3", None), ("q4", None)]
+
+
 def test_rewrite_same_length(spark):
     table = spark.createDataFrame([(1, "abc"), (2, "abc")], "k long, v string")
     new = spark.createDataFrame([(1, "xyz"), (2, "toolong")], "k long, v string")
@@ -145,9 +234,9 @@ def test_lock_conflicts(spark):
 
 def test_middle_row_and_diff(spark):
     rows = spark.createDataFrame([("g", x) for x in "dbac"] + [("h", "z")], "g string, n string")
-    assert sorted(got(secondary.middle_row(rows, "g", ["n"]), "g", "n")) == [("g", "b"), ("h", "z")]
+    assert sorted(got(secondary.middle_row(rows, ["g"], ["n"]), "g", "n")) == [("g", "b"), ("h", "z")]
     a, b = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "k long, p long"), spark.createDataFrame([(2, 2), (3, 4), (5, 5)], "k long, p long")
-    assert dict(got(secondary.snapshot_diff(a, b, "k", "p"), "change", "n_rows")) == {"removed": 1, "kept": 1, "moved": 1, "added": 1}
+    assert dict(got(secondary.snapshot_diff(a, b, "k", "p"), "change", "n_rows")) == {"removed": 1, "kept": 1, "changed": 1, "added": 1}
 
 
 def test_histogram_overflow(spark):

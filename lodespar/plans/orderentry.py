@@ -11,6 +11,7 @@ from lodespar.functions import keys
 from lodespar.operators import dup, kv, secondary
 from lodespar.plans import tpcc
 from lodespar.plans.registry import query
+from lodespar.sources import generators
 from lodespar.sources.catalog import table
 
 _COMMITTED = """bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey % 100 = 0),
@@ -135,3 +136,50 @@ def tpcc_delivery_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_shipdate").join(given, "l_orderkey", "left")
     date = F.when(F.col("l_linestatus") != "O", F.col("l_shipdate")).when(F.col("given"), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").cast(rows.schema["l_shipdate"].dataType))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", date.alias("ol_delivery_d"))
+
+
+_SIZE = {"items": 200, "customers": 30, "districts": 10, "undelivered_from": 22}
+
+
+@query(f"""WITH w AS (SELECT count(*) AS n FROM region), p AS (SELECT n * {_SIZE['districts'] * _SIZE['customers']} AS per FROM w)
+SELECT name AS container, CAST(rows AS BIGINT) AS n_rows, 0 AS n_bad FROM (
+SELECT 'item' AS name, {_SIZE['items']} AS rows UNION ALL SELECT 'warehouse', n FROM w UNION ALL SELECT 'stock', n * {_SIZE['items']} FROM w UNION ALL SELECT 'district', n * {_SIZE['districts']} FROM w
+UNION ALL SELECT unnest(['customer', 'customer_by_name', 'history', 'orders', 'orders_by_customer']), per FROM p UNION ALL SELECT 'new_order', n * {_SIZE['districts'] * (_SIZE['customers'] - _SIZE['undelivered_from'] + 1)} FROM w)""")
+def tpcc_load_check(spark, sf_dir):
+    """Generated tables for as many warehouses as there are regions: rows of each, and rows that break a rule of the workload.
+
+    Rules: sizes of texts, bounds of numbers, zip codes, and that secondary rows lead to their primary."""
+    made = generators.order_entry(spark, table(spark, sf_dir, "region").count(), **_SIZE)
+    size = lambda x, name: F.length(x).between(*generators.SIZES[name])
+    fits = lambda x: F.col(f"{x}.zip").rlike("^[0-9]{4}11111$") & size(f"{x}.street_1", "street") & size(f"{x}.city", "city")
+    rules = {
+        "item": size("i_name", "item_name") & size("i_data", "data") & F.col("i_price").between(1, 100),
+        "warehouse": fits("w_address") & F.col("w_tax").between(0, 0.2),
+        "stock": size("s_data", "data") & (F.size("s_dist") == _SIZE["districts"]) & F.col("s_quantity").between(10, 100),
+        "district": fits("d_address") & (F.col("d_next_o_id") == _SIZE["customers"] + 1),
+        "customer": fits("c_address") & size("c_first", "first") & F.col("c_phone").rlike("^[0-9]{16}$") & F.col("c_credit").isin("GC", "BC"),
+        "history": size("h_data", "history_data") & (F.col("h_amount") == 10),
+        "orders": F.col("o_ol_cnt").between(5, 15) & (F.col("o_carrier_id").isNull() == (F.col("o_id") >= _SIZE["undelivered_from"])),
+        "new_order": F.col("no_o_id") >= _SIZE["undelivered_from"],
+    }
+    out = None
+    for name, rows in made.items():
+        if name == "order_line":  # as many as the orders say: their number isn't fixed
+            continue
+        second = {"customer_by_name": ("customer", ["c_w_id", "c_d_id", "c_id"]), "orders_by_customer": ("orders", ["o_w_id", "o_d_id", "o_id"])}.get(name)
+        if second:
+            rows = rows.join(made[second[0]].select(*second[1], F.lit(True).alias("there")), second[1], "left")
+        bad = F.count_if(~F.coalesce(F.col("there") if second else rules[name], F.lit(False)))
+        got = rows.agg(F.lit(name).alias("container"), F.count("*").alias("n_rows"), bad.cast("int").alias("n_bad"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"WITH o AS (SELECT count(*) * {_SIZE['districts'] * _SIZE['customers']} AS n FROM region) SELECT n AS n_orders, CAST(0 AS BIGINT) AS n_other_count FROM o")
+def tpcc_load_lines(spark, sf_dir):
+    """Generated orders, and those that haven't one line less than their count, all of known items and five of each."""
+    made = generators.order_entry(spark, table(spark, sf_dir, "region").count(), **_SIZE)
+    good = F.col("ol_i_id").between(1, _SIZE["items"]) & (F.col("ol_quantity") == 5) & (F.length("ol_dist_info") == 24)
+    lines = made["order_line"].groupBy(F.col("ol_w_id").alias("o_w_id"), F.col("ol_d_id").alias("o_d_id"), F.col("ol_o_id").alias("o_id")).agg(F.count_if(good).alias("lines"))
+    rows = made["orders"].join(lines, ["o_w_id", "o_d_id", "o_id"], "left")
+    return rows.agg(F.count("*").alias("n_orders"), F.count_if(F.coalesce("lines", F.lit(0)) != F.col("o_ol_cnt") - 1).alias("n_other_count"))

@@ -27,6 +27,14 @@ def ycsb_read(spark, sf_dir):
     return _log(spark, sf_dir).where("seq % 2 = 0").join(found, "k").select("seq", "k", (F.octet_length("c_name") + 8).cast("long").alias("size"))
 
 
+@query("SELECT count(*) AS n, bit_xor(c_custkey) AS checksum FROM customer")
+def ycsb_secondary_count(spark, sf_dir):
+    """Rows that a scan of the whole secondary table reaches in its primary, before the workload runs."""
+    rows = table(spark, sf_dir, "customer")
+    second = secondary.derive(rows.select(F.col("c_custkey").alias("k"), "c_custkey"), ["k"], ["c_custkey"])
+    return secondary.lookup(second, rows.select("c_custkey"), ["c_custkey"]).agg(F.count("*").alias("n"), F.bit_xor("c_custkey").alias("checksum"))
+
+
 @query(f"WITH {_LOG}, u AS (SELECT k, arg_max(v, seq) AS v FROM log WHERE seq % 2 = 1 GROUP BY k) SELECT c_custkey AS k, CASE WHEN u.k IS NULL THEN c_acctbal ELSE u.v END AS v FROM customer LEFT JOIN u ON u.k = c_custkey")
 def ycsb_update_lww(spark, sf_dir):
     """The last writer of a key wins."""

@@ -58,6 +58,11 @@ def test_order_entry_tables(spark):
     assert n["item"] == 50 and n["stock"] == 100 and n["district"] == 6 and n["customer"] == n["orders"] == 180 and n["new_order"] == 54
     assert n["order_line"] == t["orders"].agg(F.sum(F.col("o_ol_cnt") - 1)).first()[0]
     assert t["orders"].groupBy("o_w_id", "o_d_id").agg(F.countDistinct("o_c_id").alias("c")).where("c <> 30").count() == 0
+    assert n["history"] == n["customer_by_name"] == n["orders_by_customer"] == 180
+    row = t["customer"].first()
+    assert t["customer"].first() == row and len(row.c_address.zip) == 9 and row.c_middle == "OE" and 300 <= len(row.c_data) <= 500
+    marked = t["stock"].where(F.contains("s_data", F.lit("ORIGINAL"))).count()
+    assert 2 <= marked <= 25 and t["stock"].where("length(s_data) not between 26 and 50").count() == 0
 
 
 @pytest.mark.parametrize("kind", ["tumbling", "sessions", "deduplicated"])

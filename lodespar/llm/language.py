@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodespar.llm.common import cut, held_out, in_arrow, texts, unit_hash
 
@@ -204,4 +205,5 @@ def keep_known_languages(docs: DataFrame, docs_per_language: int = 4000, least_s
             found = (shared.value.predict(x or "") for x in batch.column(place).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score, _ in found], pa.bool_()))
 
-    return docs.transform(in_arrow, run, docs.schema)
+    plain = StructType([StructField(f"c{k}", x.dataType, x.nullable) for k, x in enumerate(docs.schema)])  # as names may hold any characters
+    return docs.toDF(*plain.names).transform(in_arrow, run, plain).toDF(*docs.columns)

@@ -263,8 +263,9 @@ def test_random_logs_like_a_dictionary(spark):
         status[seq] = "key_exists" if op == "insert" and there else "key_not_found" if op in ("update", "delete") and not there else "ok"
         if status[seq] == "ok":
             state.pop(k, None) if op == "delete" else state.__setitem__(k, v)
-    after, done = txn.fold(spark.createDataFrame(base, "k long, v string"), spark.createDataFrame(log, "seq long, op string, k long, v string"), "k")
-    assert dict(got(after, "k", "v")) == state and dict(got(done, "seq", "status")) == status
+    for step in (7, 1_000_000):
+        after, done = txn.fold(spark.createDataFrame(base, "k long, v string"), spark.createDataFrame(log, "seq long, op string, k long, v string"), "k", step=step)
+        assert dict(got(after, "k", "v")) == state and dict(got(done, "seq", "status")) == status
 
 
 def test_random_batches_like_a_dictionary(spark):

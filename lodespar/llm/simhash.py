@@ -87,8 +87,11 @@ def tile_links(prints: np.ndarray, left: int, radius: int, step: int = 256) -> l
                 i, j = i[apart], j[apart]
                 if not len(i):
                     break
-                links.append((int(i[0]), int(j[0])))
-                root[root == root[j[0]]] = root[i[0]]
+                for k in np.concatenate([np.unique(root[x], return_index=True)[1] for x in (i, j)]).tolist():  # a pair of each part
+                    p, q = root[i[k]], root[j[k]]
+                    if p != q:
+                        links.append((int(i[k]), int(j[k])))
+                        root[root == q] = p
     return links
 
 

@@ -210,13 +210,13 @@ SPANS = "array<struct<kind:string,start:long,end:long,votes:string,features:arra
 
 
 def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added of every row of ``docs`` (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, added of every row of ``docs`` (doc_id, text).
 
     Matches of the base patterns that pass their check are always kept; counts and base_sha256 are theirs. Labelers vote
     on them and on further candidates (written-out addresses, numbers without a country code, account
     numbers, secrets). The votes' patterns are counted over all documents, expectation-maximisation makes
     beliefs of them, and a span classifier learns these beliefs from about ``spans_to_fit`` spans chosen by hash.
-    Candidates stay at a probability of ``least``, whichever labelers voted for them. ``added``: how many.
+    Candidates stay at a probability of ``least``, whichever labelers voted for them. ``added``: how many; ``n_spans``: of all.
 
     ``spans``: kind:start:end of all, comma-joined, by kind (email, ip, card, phone, then by name) and start; code
     points, end exclusive. Null and empty texts have none; repeated rows get equal results; no rows give no rows."""
@@ -249,14 +249,15 @@ def find_personal_data(docs: DataFrame, spans_to_fit: int = 20_000, least: float
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, added = [], []
+            spans, total, added = [], [], []
             for base, voted in zip(batch.column("base").to_pylist(), batch.column("voted").to_pylist(), strict=True):
                 own = base.split(",") if base else []
                 kept = [(s["kind"], s["start"], s["end"]) for s in voted[len(own) :] if model.value.probability(s["kind"], s["votes"], s["features"]) >= least]
                 split = [x.split(":") for x in own]
                 every = sorted([*((k, int(a), int(b)) for k, a, b in split), *kept], key=lambda x: (KINDS.index(x[0]), x[1]))
                 spans.append(",".join(f"{k}:{a}:{b}" for k, a, b in every))
+                total.append(len(every))
                 added.append(len(kept))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=[*batch.schema.names[:6], "spans", "added"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(spans, pa.string()), pa.array(total, pa.int64()), pa.array(added, pa.int64())], names=[*batch.schema.names[:6], "spans", "n_spans", "added"])
 
-    return found.select(*(x.split()[0] for x in head.split(", ")), "base", "voted").transform(in_arrow, decide, f"{head}, spans string, added long")
+    return found.select(*(x.split()[0] for x in head.split(", ")), "base", "voted").transform(in_arrow, decide, f"{head}, spans string, n_spans long, added long")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespar.llm.common import cut, held_out, in_arrow, text_hash, texts, unit_hash
@@ -72,9 +72,10 @@ class FactorizationMachine:
             self.idle.clear()
         if len(self.active) > self.memory:
             self.active.clear()
-        rest = words - self.idle
-        for x in rest - self.active.keys():
-            self._learn(x)
+        rest = words.difference(self.idle)
+        for x in rest:
+            if x not in self.active:
+                self._learn(x)
         known = [self.active[x] for x in rest if x in self.active]
         found = {own for own, _ in known}
         for prefix, times in Counter([x for _, prefixes in known for x in prefixes]).items():
@@ -83,7 +84,7 @@ class FactorizationMachine:
         found.discard(None)
         return sorted(found)
 
-    def raw(self, at: list[int]) -> float:
+    def raw(self, at: list[int] | np.ndarray) -> float:
         v = self.factor[at]
         return self.bias + self.weight[at].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
 
@@ -94,10 +95,10 @@ class FactorizationMachine:
 class _Rows:
     """Rows' features as dense blocks of at most ``cells`` numbers; kept if one block holds all, else made anew each time."""
 
-    def __init__(self, rows: list[list[int]], features: int, cells: int = 1 << 24):
+    def __init__(self, rows: list, features: int, cells: int = 1 << 24):
         self.size, self.features, self.step = len(rows), features, max(1, cells // max(1, features))
         self.first = np.cumsum([0, *map(len, rows)])
-        self.column = np.fromiter((k for r in rows for k in r), np.int64, self.first[-1])
+        self.column = np.concatenate([np.zeros(0, np.int32), *(np.asarray(r, np.int32) for r in rows)])
         self.kept = self._block(0) if self.step >= self.size else None
 
     def _block(self, a: int) -> np.ndarray:
@@ -111,7 +112,7 @@ class _Rows:
             yield slice(a, a + self.step), self._block(a) if self.kept is None else self.kept
 
 
-def fit_machine(rows: list[list[int]], label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(rows: list, label: np.ndarray, weight_of: np.ndarray, features: int, rank: int = 8, epochs: int = 200, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
     """Weighted logistic loss with L2 decay, by full-batch Adam. ``rows``: each row's features, from 0."""
     x, total = _Rows(rows, features), weight_of.sum()
     prior = float((label * weight_of).sum() / total)
@@ -161,12 +162,12 @@ def pair_scores(first: np.ndarray, column: np.ndarray, error: np.ndarray, spread
     return z.max(1), z.max(0)
 
 
-def interacting(sample: DataFrame, place: dict[int, int], error: np.ndarray, spread: np.ndarray, rows: list[list[int]], least_rows: int, least_z: float, block: int = 1024) -> list[int]:
-    """The features (of ``place``) with a pair in which the machine's errors agree by at least ``least_z`` standard errors.
+def interacting(spark: SparkSession, features: int, error: np.ndarray, spread: np.ndarray, rows: list[np.ndarray], least_rows: int, least_z: float, block: int = 1024) -> list[int]:
+    """The features (0 to ``features``) with a pair in which the machine's errors agree by at least ``least_z`` standard errors.
 
     All pairs of blocks are tasks of their own; what is broadcast are the rows' features, bounded as the sample is."""
-    spark, blocks = sample.sparkSession, -(-len(place) // block)
-    shared = spark.sparkContext.broadcast((np.cumsum([0, *map(len, rows)]), np.fromiter((k for r in rows for k in r), np.int32), error, spread))
+    blocks = -(-features // block)
+    shared = spark.sparkContext.broadcast((np.cumsum([0, *map(len, rows)]), np.concatenate([np.zeros(0, np.int32), *rows]), error, spread))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,16 +186,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_class: int, lon
 
     Of several labels of a doc_id the highest counts; rows without a label (0 or 1) or doc_id don't. Each class's rows are
     counted and about ``rows_per_class`` different ones are chosen by a hash; equal rows are one, ``times`` as heavy. Only
-    texts of at most ``longest`` characters are learned from (all are scored), which bounds the sample's bytes."""
+    texts of at most ``longest`` characters are learned from (all are scored), which bounds the sample's bytes. No text is shuffled but
+    the sample's: the chosen keys, at most some 2 * rows_per_class, are broadcast."""
     own = labels.where("doc_id is not null and cast(toxic as int) in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(own, "doc_id")
-    n_of = {x.toxic: x.n for x in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rate = {k: min(1.0, rows_per_class / n_of[k]) if k in n_of else 1.0 for k in (0, 1)}
-    chosen = rows.where(unit_hash("doc_id", "text") < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    return chosen.groupBy("toxic", "doc_id", "text").agg(F.count("*").alias("times")).drop("doc_id"), rate, (n_of.get(1, 0) + 0.5) / (sum(n_of.values()) + 1)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).withColumn("text_hash", F.xxhash64("text"))
+    keys = cut(docs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).join(own, "doc_id"))
+    n_of = {x.toxic: (x.n, x.rows) for x in keys.groupBy("toxic").agg(F.sum("times").alias("n"), F.count("*").alias("rows")).collect()}
+    rate = {k: min(1.0, rows_per_class / n_of[k][1]) if k in n_of else 1.0 for k in (0, 1)}
+    chosen = keys.where(unit_hash("doc_id", "text_hash") < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    sample = docs.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("toxic", "text", "times")
+    return sample, rate, (n_of.get(1, (0, 0))[0] + 0.5) / (sum(n for n, _ in n_of.values()) + 1)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, longest: int = 1 << 20, buckets: int = 1 << 26, least_rows: int = 5, least_z: float = 4.0, pair_rows: int = 20, pair_share: float = 0.01, pair_z: float = 6.0) -> FactorizationMachine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000, longest: int = 1 << 20, buckets: int = 1 << 26, least_rows: int = 5, least_z: float = 4.0, pair_rows: int = 20, pair_share: float = 0.02, pair_z: float = 6.0) -> FactorizationMachine:
     """A machine for ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text), learned from a bounded sample (see ``labelled_sample``).
 
     Its terms are all of those in ``least_rows`` documents of the sample or more that are at least ``least_z`` standard errors
@@ -222,21 +226,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = 6_000
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[place[y] for y in x if y in place] for x in batch.column("terms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("times"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "times", "terms"])
+            found = [np.array([place[y] for y in x if y in place], "<i4").tobytes() for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("times"), pa.array(found, pa.binary())], names=["toxic", "times", "terms"])
 
-    got = sample.transform(in_arrow, placed, "toxic int, times long, terms array<int>").orderBy("toxic", "terms", "times").collect()
-    label, times = np.array([x.toxic for x in got], float), np.array([x.times for x in got], float)
+    rows = sample.transform(in_arrow, placed, "toxic int, times long, terms binary").collect()  # bounded as the sample is
+    rows.sort(key=lambda x: (x.toxic, bytes(x.terms), x.times))  # the same sums whatever order they come in
+    label, times, every = np.array([x.toxic for x in rows], float), np.array([x.times for x in rows], float), [np.frombuffer(x.terms, "<i4") for x in rows]
 
-    def only(features: list[int]) -> list[list[int]]:
-        at = {k: n for n, k in enumerate(features)}
-        return [[at[k] for k in x.terms if k in at] for x in got]
+    def only(features: list[int]) -> list[np.ndarray]:
+        at = np.full(len(known), -1, np.int32)
+        at[features] = np.arange(len(features))
+        return [(y := at[x])[y >= 0] for x in every]
 
     tell, common = [k for k, x in enumerate(known) if x.tells], [k for k, x in enumerate(known) if x.common]
-    rows = only(tell)
-    first = FactorizationMachine({}, buckets, *fit_machine(rows, label, times, len(tell)))
-    p = 1 / (1 + np.exp(-np.clip([first.raw(x) for x in rows], -4, 4)))
-    paired = interacting(sample, {k: n for n, k in enumerate(common)}, (label - p) * times, p * (1 - p) * times, only(common), pair_rows, pair_z)
+    first = FactorizationMachine({}, buckets, *fit_machine(only(tell), label, times, len(tell)))
+    p = 1 / (1 + np.exp(-np.clip([first.raw(x) for x in only(tell)], -4, 4)))
+    paired = interacting(docs.sparkSession, len(common), (label - p) * times, p * (1 - p) * times, only(common), pair_rows, pair_z)
     chosen = sorted({*tell, *(common[k] for k in paired)})
     weight = times * np.where(label == 1, 1 / rate[1], 1 / rate[0])
     return FactorizationMachine({known[k].term: n for n, k in enumerate(chosen)}, buckets, *fit_machine(only(chosen), label, weight, len(chosen)))

@@ -171,6 +171,39 @@ def order_faults(stream: DataFrame, *keys: str, by: str, order: Sequence[str]) -
     return marked.groupBy(by).agg(F.count("*").alias("n_rows"), F.count_if("below").alias("n_below"), F.count_if("same").alias("n_repeats"))
 
 
+def stream_faults(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row: n_rows, n_below, n_repeats of the whole ``stream`` in ``order``, as in ``order_faults``.
+
+    The stream is cut into ranges of ``order``; each task streams through its own, and what is left is one row a range."""
+    ranged = stream.select(*order, F.struct(*(F.col(x).alias(f"k{n}") for n, x in enumerate(keys))).alias("key")).repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "key")
+    kind = ranged.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = part = None
+        n = below = same = 0
+        for batch in batches:
+            for x in batch.column("key").to_pylist():
+                now = tuple(x.values())
+                if n:
+                    below, same = below + (now < last), same + (now == last)
+                else:
+                    first = now
+                last, n = now, n + 1
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+        if n:
+            names = [f"k{i}" for i in range(len(keys))]
+            ends = [pa.array([dict(zip(names, x, strict=True))], batch.schema.field("key").type) for x in (first, last)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (part, n, below, same)), *ends], names=["part", "n", "below", "same", "first", "last"])
+
+    parts = ranged.mapInArrow(run, f"part long, n long, below long, same long, first {kind}, last {kind}")
+    before = F.lag("last").over(Window.orderBy("part"))  # one row a range
+    joined = parts.select("n", "below", "same", (before > F.col("first")).alias("b"), (before == F.col("first")).alias("s"))
+    total = lambda c, more: (F.coalesce(F.sum(c), F.lit(0)) + F.count_if(more)).cast("long")
+    return joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), total("below", "b").alias("n_below"), total("same", "s").alias("n_repeats"))
+
+
 def range_stats(table: DataFrame, key: str, size: Column, width: int) -> DataFrame:
     """How evenly rows and their ``size`` spread over key ranges of ``width``: ranges, rows, and the least, mean and greatest rows and bytes of one."""
     by = table.groupBy(F.floor(F.col(key) / width).alias("range")).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("used"))

@@ -146,6 +146,14 @@ def kv_bulk_load_check(spark, sf_dir):
     return kv.order_faults(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey", by="o_custkey", order=["o_orderdate", "o_totalprice", "o_orderkey"])
 
 
+@query("""WITH c AS (SELECT l_partkey AS k, lag(l_partkey) OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey) AS p FROM lineitem)
+SELECT count(*) AS n_rows, count(*) FILTER (p > k) AS n_below, count(*) FILTER (p = k) AS n_repeats FROM c""")
+def kv_bulk_stream_check(spark, sf_dir):
+    """Whether all lines, in the order of their orders, could be loaded as one stream sorted by their item."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return kv.stream_faults(lines, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+
+
 @query("""SELECT (SELECT count(*) - count(DISTINCT o_orderkey) FROM orders) AS n_repeats, (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS n_dangling,
 (SELECT count(*) FROM orders WHERE o_orderkey IS NULL) AS n_null""")
 def kv_consistency(spark, sf_dir):

@@ -7,6 +7,8 @@ from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodespar.operators.kv import stream_faults
+
 
 class Kind(Enum):
     ORDERED = "ordered"  # range-partitioned and sorted by its key
@@ -31,6 +33,10 @@ class ContainerNotFound(KeyError):
     pass
 
 
+class OutOfOrder(ValueError):
+    pass
+
+
 class Catalog:
     """Containers by name. Creating and dropping takes effect at once and isn't part of any batch."""
 
@@ -96,6 +102,14 @@ def write_ordered(df: DataFrame, path: str, *keys: str, partitions: int | None =
     ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def bulk_load(stream: DataFrame, path: str, keys: list[str], order: list[str], unique: bool = True) -> None:
+    """Write a ``stream`` that, in ``order``, must already be sorted by its key; OutOfOrder, and nothing is written, if it isn't."""
+    found = stream_faults(stream, keys, order).first()
+    if found.n_below or (unique and found.n_repeats):
+        raise OutOfOrder(f"{found.n_below} keys below the one before, {found.n_repeats} repeated")
+    write_ordered(stream, path, *keys)
+
+
 def write_bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> None:
     """A saved table bucketed and sorted by its key: joins and groupings on the key need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

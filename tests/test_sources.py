@@ -28,6 +28,18 @@ def test_three_containers_stay(spark, tmp_path):
         assert [r.k for r in rows] == list(range(10)) and {bytes(r.v) for r in rows} == {bytes([c]) * 4}
 
 
+def test_only_sorted_streams_are_loaded(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.col("id") * 2).alias("k"), F.lit("x").alias("g"))
+    catalog.bulk_load(rows, str(tmp_path / "good"), ["g", "k"], ["id"])
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1000
+    for k, bad in enumerate((rows.withColumn("k", F.when(F.col("id") == 500, 3).otherwise(F.col("k"))), rows.withColumn("k", F.expr("id div 2")))):
+        with pytest.raises(catalog.OutOfOrder):
+            catalog.bulk_load(bad, str(tmp_path / f"bad{k}"), ["g", "k"], ["id"])
+        assert not (tmp_path / f"bad{k}").exists()
+    catalog.bulk_load(bad, str(tmp_path / "repeats"), ["g", "k"], ["id"], unique=False)
+    catalog.bulk_load(rows.limit(0), str(tmp_path / "none"), ["k"], ["id"])
+
+
 def test_bucketed_join_has_no_shuffle(spark, small):
     catalog.write_bucketed(catalog.table(spark, small, "orders").withColumnRenamed("o_orderkey", "k"), "orders_b", 4, "k")
     catalog.write_bucketed(catalog.table(spark, small, "lineitem").withColumnRenamed("l_orderkey", "k"), "lines_b", 4, "k")

@@ -70,7 +70,7 @@ def upsert_merge(table: DataFrame, batch: DataFrame, key: str, value: str, combi
     return joined.select(key, F.when(both, merge(F.col(value), F.col("new"))).otherwise(F.coalesce(value, "new")).alias(value))
 
 
-def upsert_fold(table: DataFrame, batch: DataFrame, key: str, seq: str, value: str, merge: Callable[[Column, Column], Column], step: int = 1000) -> DataFrame:
+def upsert_fold(table: DataFrame, batch: DataFrame, key: str, seq: str, value: str, merge: Callable[[Column, Column], Column], step: int = 100_000) -> DataFrame:
     """Insert or merge with an associative function that needn't commute: operations are folded in sequence order.
 
     First each key's operations within ``step`` numbers of sequence, then these ranges' results: no array has more than ``step``
@@ -136,21 +136,20 @@ def bound(table: DataFrame, probes: DataFrame, key: str, probe: str, strict: boo
     at = lambda x, level: F.floor(F.col(x) / width**level)
     asked = probes.select(probe).where(F.col(probe).isNotNull()).distinct()
     after = (F.col(key) > F.col(probe)) if strict else (F.col(key) >= F.col(probe))
-    steps = [asked.withColumn("r", at(probe, 1)).join(table.select(key, at(key, 1).alias("r")), "r").where(after).groupBy(probe).agg(F.min(key).alias("b1"))]
+    # what each step finds is below what the next one does, so the least of all is the answer
+    found = asked.withColumn("r", at(probe, 1)).join(table.select(key, at(key, 1).alias("r")), "r").where(after).select(probe, F.col(key).alias("bound"))
     least = table.groupBy(at(key, 1).alias("child")).agg(F.min(key).alias("least"))
     for level in range(2, levels + 1):
         own = asked.withColumn("r", at(probe, level)).withColumn("own", at(probe, level - 1))
         inner = least.withColumn("r", F.floor(F.col("child") / width))
-        steps.append(own.join(inner, "r").where("child > own").groupBy(probe).agg(F.min("least").alias(f"b{level}")))
+        found = found.unionByName(own.join(inner, "r").where("child > own").select(probe, F.col("least").alias("bound")))
         least = inner.groupBy(F.col("r").alias("child")).agg(F.min("least").alias("least"))
-    for x in steps:
-        asked = asked.join(x, probe, "left")
     # of the widest ranges, those that have keys and those that have probes: few, so one window may order them
     top = asked.select(at(probe, levels).alias("child"), F.lit(None).cast(least.schema["least"].dataType).alias("least")).distinct().unionByName(least)
     top = top.groupBy("child").agg(F.min("least").alias("least"))
-    later = top.select(F.col("child").alias("top"), F.min("least").over(Window.orderBy("child").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
-    asked = asked.withColumn("top", at(probe, levels)).join(later, "top", "left")
-    return asked.select(probe, F.coalesce(*(f"b{k + 1}" for k in range(len(steps))), "beyond").alias("bound"))
+    later = top.select(F.col("child").alias("top"), F.min("least").over(Window.orderBy("child").rowsBetween(1, Window.unboundedFollowing)).alias("bound"))
+    found = found.unionByName(asked.withColumn("top", at(probe, levels)).join(later, "top").select(probe, "bound"))
+    return asked.join(found.groupBy(probe).agg(F.min("bound").alias("bound")), probe, "left")
 
 
 def rewrite_same_length(table: DataFrame, batch: DataFrame, key: str, value: str) -> DataFrame:
@@ -183,8 +182,7 @@ def stream_faults(stream: DataFrame, keys: Sequence[str], order: Sequence[str])
         first = last = part = None
         n = below = same = 0
         for batch in batches:
-            for x in batch.column("key").to_pylist():
-                now = tuple(x.values())
+            for now in zip(*(x.to_pylist() for x in batch.column("key").flatten()), strict=True):
                 if n:
                     below, same = below + (now < last), same + (now == last)
                 else:

@@ -41,7 +41,8 @@ def named(names: str, declared: bool) -> int | None:
     kinds = []
     for name in names.split():
         parts = [x for x in re.split(r"[-_]+|(?<=[A-Za-z])(?=\d)", name) if x]
-        if not parts or parts[0].lower() in _BESIDE:
+        parts += [y for x in parts for y in re.split(r"(?<=[a-z])(?=[A-Z])", x) if y != x]  # as in cookieBanner
+        if not parts or parts[0].lower() in _BESIDE or re.match("[a-z]*", parts[0])[0] in _BESIDE:
             continue
         for kind, pattern in ((COMMENTS, _COMMENTS), (APART, _APART), (LOOSE, _LOOSE)):
             if any(pattern.fullmatch(x) for x in parts) and (kind == COMMENTS or not declared):

@@ -237,6 +237,13 @@ def test_names_exclude_no_article(page):
     assert html.main_text(page.format(PARAGRAPHS)) == f"Head {plain}"
 
 
+def test_words_of_names():
+    kinds = {"ad": html.APART, "cookieBanner": html.APART, "site_footer-2": html.APART, "ad1": html.APART, "commentList": html.COMMENTS, "post comments": html.COMMENTS, "postTags": html.LOOSE, "related": html.LOOSE}
+    plain = ("", "article-body", "category-social", "tag-ads", "hasSidebar", "with-sidebar", "no_ads", "shadow", "header-image-free", "broadcast", "advice")
+    assert {x: html.named(x, False) for x in kinds} == kinds and all(html.named(x, False) is None for x in plain)
+    assert html.named("post ads sidebar", True) is None and html.named("comment-body", True) == html.COMMENTS
+
+
 def test_related_work_is_part_of_the_article():
     text = html.main_text(f"<article><h1>Head</h1>{PARAGRAPHS}<section class='related work'><h2>Related work</h2>{PARAGRAPHS}</section></article>")
     assert text.count("Paragraph") == 10 and "Related work" in text
